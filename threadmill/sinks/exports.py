@@ -16,7 +16,7 @@ from threadmill.schema import EXPORT_COLUMNS, JSONL_FIELDS
 
 _DATES = ("date", "edit_date", "updated_at")
 # Marks a file as UTF-8 for spreadsheet programs.
-_BYTE_ORDER_MARK = "﻿"
+_BYTE_ORDER_MARK = "\ufeff"
 
 
 def csv_rows(messages: DataFrame, dedupe: str | None = None) -> DataFrame:

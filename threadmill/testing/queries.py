@@ -233,7 +233,7 @@ def csv_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     exports.write_csv(fx.corpus(spark, sf_dir), path)
     back = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', lineSep="\n")
-    renamed = back.toDF(*(c.strip("﻿\r") for c in back.columns))
+    renamed = back.toDF(*(c.strip("\ufeff\r") for c in back.columns))
     return renamed.select("chat_identifier", "message_id", F.length("text").cast("bigint").alias("chars"))
 
 
