@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 from threadmill.schema import DEDUPE_MODES
 
 # --- fixed values: the 29 code points that count as white space ----------------
-# Bare \s is ASCII-only here, so the class is spelled out.
-_SPACES = r"\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WHITESPACE = rf"[\t-\r{_SPACES}]"
-# The same without the line feed, for work inside a line.
-INLINE_WHITESPACE = rf"[\t\x0B-\r{_SPACES}]"
+# Bare \s is ASCII-only here, so they are spelled out; LINE_ENDS belong to them.
+_INLINE = (
+    r"\t\x0B\f\x1C\x1D\x1E\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+LINE_ENDS = r"\n\r"
+WHITESPACE = f"[{LINE_ENDS}{_INLINE}]"
+INLINE_WHITESPACE = f"[{_INLINE}]"
 # ------------------------------------------------------------------------------
 
 
+def _collapse(text: Column, whitespace: str) -> Column:
+    """Every run of `whitespace` becomes one space.
+
+    Most runs are one space already.  The pattern passes over letters with a
+    single range test, and over a space with such a letter behind it, and only
+    then asks for the whole class: several times as fast as the plain class.
+    """
+    to_change = rf"[^!-~](?<! (?=[!-~]))(?<={whitespace}){whitespace}*+"
+    return F.regexp_replace(text, to_change, " ")
+
+
 def strip(text: Column) -> Column:
     """Remove white space, in the wide sense, from both ends."""
     return F.regexp_replace(text, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
@@ -23,21 +37,19 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """One line: every run of white space becomes a space; NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE + "+", " "))
+    return F.trim(_collapse(F.coalesce(text, F.lit("")), WHITESPACE))
 
 
 def clean_text(text: Column) -> Column:
     """Keep the line structure: tidy each line, drop the empty ones.
 
-    Written as three replacements instead of split/transform/filter/join so
-    that it stays in generated code.  After the second one, white space inside
-    a line is single spaces, so a break is line feeds with at most one space
-    around each.
+    Written as replacements instead of split/transform/filter/join so that it
+    stays in generated code.  After the first one, white space inside a line is
+    single spaces, so a break is line ends with at most one space around each.
     """
-    unix = F.regexp_replace(text, r"\r\n?", "\n")
-    tidy = F.regexp_replace(unix, INLINE_WHITESPACE + "+", " ")
-    joined = F.regexp_replace(tidy, r" ?\n[ \n]*", "\n")
-    return F.trim(joined, F.lit(" \n"))
+    tidy = _collapse(text, INLINE_WHITESPACE)
+    broken = F.regexp_replace(tidy, rf"[{LINE_ENDS}][ {LINE_ENDS}]*+", "\n")
+    return F.trim(F.replace(broken, F.lit(" \n"), F.lit("\n")), F.lit(" \n"))
 
 
 def hashtag_only(cleaned: Column) -> Column:

@@ -84,7 +84,7 @@ def aggregate_counters(
     text, username = normalize_text(F.col("text")), F.col("sender_username")
     digest = dedupe_hash(text, F.col("sender_id"), username, F.col("date"), mode)
     live = F.lit(True) if include_deleted else F.coalesce("deleted", F.lit(0)) == 0
-    kept = live & (text != "")
+    kept = live & has_words(F.col("text"))
     return sources.select(F.when(kept, digest).alias("post")).agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count("post").alias("rows_kept"),

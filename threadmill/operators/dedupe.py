@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadmill.functions.identifiers import topic_or_none
 from threadmill.functions.text import clean_text, dedupe_hash, normalize_text
 from threadmill.functions.times import second_of
-from threadmill.operators.filters import has_text, visible, worth_exporting
+from threadmill.operators.filters import computed_once, has_text, visible, worth_exporting
 from threadmill.schema import KEY
 
 
@@ -52,27 +52,29 @@ def dedupe_csv(messages: DataFrame, mode: str = "text") -> DataFrame:
     return first_wins(messages, [digest], chronological())
 
 
-def exportable(
-    messages: DataFrame,
-    include_deleted: bool = False,
-    include_service: bool = False,
-    min_chars: int = 0,
-    skip_hashtag_only: bool = False,
+def candidates(
+    messages: DataFrame, include_deleted: bool = False, include_service: bool = False
 ) -> DataFrame:
-    """Messages with text that pass the export rules, `text` cleaned.
+    """Messages that may be exported, by what the file scan can check."""
+    return visible(messages, include_deleted, include_service).where(has_text(F.col("text")))
+
+
+def cleaned(rows: DataFrame, min_chars: int = 0, skip_hashtag_only: bool = False) -> DataFrame:
+    """Rows with `text` cleaned, without those that are then too short or only tags.
 
     A text of white space only is kept as '' unless `min_chars` forbids it.
     """
-    rows = visible(messages, include_deleted, include_service).where(has_text(F.col("text")))
-    rows = rows.withColumn("text", clean_text(F.col("text")))
-    if min_chars or skip_hashtag_only:
-        rows = rows.where(worth_exporting(F.col("text"), min_chars, skip_hashtag_only))
-    return rows
+    clean = clean_text(F.col("text"))
+    if not (min_chars or skip_hashtag_only):
+        return rows.withColumn("text", clean)
+    return computed_once(rows, "text", clean).where(
+        worth_exporting(F.col("text"), min_chars, skip_hashtag_only)
+    )
 
 
-def dedupe_jsonl(exported: DataFrame, mode: str = "text") -> DataFrame:
+def dedupe_jsonl(rows: DataFrame, mode: str = "text") -> DataFrame:
     """Chronologically first row per cleaned text (and sender, day) of
-    :func:`exportable` rows."""
+    :func:`cleaned` rows."""
     digest = dedupe_hash(
         F.col("text"),
         F.col("sender_id"),
@@ -81,4 +83,4 @@ def dedupe_jsonl(exported: DataFrame, mode: str = "text") -> DataFrame:
         mode,
         null_sender="None",
     )
-    return first_wins(exported, [digest], chronological())
+    return first_wins(rows, [digest], chronological())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.functions.text import hashtag_only, normalize_text
+from threadmill.functions.text import WHITESPACE, hashtag_only
 from threadmill.functions.times import moment
 from threadmill.schema import COMPARED
 
@@ -52,7 +52,17 @@ def has_text(text: Column) -> Column:
 
 def has_words(text: Column) -> Column:
     """Something besides white space."""
-    return normalize_text(text) != ""
+    return text.rlike(rf"(?!{WHITESPACE})[\s\S]")
+
+
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Like withColumn, for a costly column that filters will use.
+
+    The optimizer moves filters down and would evaluate the column there too;
+    it does not move them past a generator.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(column)).alias(name)).select(*df.columns)
 
 
 def worth_exporting(
@@ -72,21 +82,20 @@ def since(df: DataFrame, cutoff: object, column: str = "date") -> DataFrame:
     return df.where(F.col(column) >= moment(df, column, cutoff))
 
 
-def comparable(name: str, column: Column) -> Column:
-    """A compared column with its NULL replaced by what NULL stands for."""
+def _comparable(name: str, prefix: str = "") -> str:
+    """SQL of a compared column with its NULL replaced by what NULL stands for."""
     stand_in = COMPARED[name]
-    return column if stand_in is None else F.coalesce(column, F.lit(stand_in))
+    return f"{prefix}{name}" if stand_in is None else f"coalesce({prefix}{name}, {stand_in!r})"
 
 
-def content(prefix: str = "") -> Column:
+def content() -> Column:
     """The compared columns as one struct; two versions are equal iff it is."""
-    return F.struct(*(comparable(c, F.col(prefix + c)).alias(c) for c in COMPARED))
+    return F.expr("struct(" + ", ".join(f"{_comparable(c)} AS {c}" for c in COMPARED) + ")")
 
 
 def row_changed(old: str, new: str) -> Column:
     """Whether `new.*` must replace `old.*`: other content, or `old` is deleted."""
-    same = F.lit(True)
-    for name in COMPARED:
-        before, after = F.col(f"{old}.{name}"), F.col(f"{new}.{name}")
-        same = same & comparable(name, before).eqNullSafe(comparable(name, after))
-    return ~same | flag(F.col(f"{old}.deleted"))
+    same = " AND ".join(
+        f"{_comparable(c, old + '.')} <=> {_comparable(c, new + '.')}" for c in COMPARED
+    )
+    return F.expr(f"NOT ({same}) OR coalesce({old}.deleted, 0) <> 0")

@@ -27,13 +27,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return largest.limit(MAX_HOT_KEYS).select(*keys)
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys).
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of the keys in `hot`, from :func:`hot_keys`).
 
     The broadcast is bounded by MAX_HOT_KEYS.  Rows with a NULL key part match
-    nothing and stay with the ordinary ones.
+    nothing and stay with the ordinary ones.  Without hot keys, adaptive
+    execution removes both joins and the second branch altogether.
     """
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    few = F.broadcast(hot)
+    return df.join(few, list(keys), "left_anti"), df.join(few, list(keys), "left_semi")

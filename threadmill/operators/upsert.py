@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.identifiers import topic_or_none
 from threadmill.operators.hotkeys import HOT_ROWS
-from threadmill.operators.versions import ORDER, fold_versions
+from threadmill.operators.versions import ORDER, crowded_keys, fold_versions
 from threadmill.schema import KEY, MESSAGES
 
 _COLUMNS = [f.name for f in MESSAGES]
@@ -33,7 +33,7 @@ def upsert_changes(
     current: DataFrame,
     staged: DataFrame,
     order: Sequence[str] = ("id",),
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The state of every staged key after the upsert, with `change_type`:
     insert, update, revive (a deleted row seen again) or unchanged.
@@ -54,7 +54,9 @@ def upsert_changes(
         )
     )
     order = ("source_order", *order)
-    folded = fold_versions(versions, order, hot_rows if order == ORDER else None)
+    # The table adds one version per key: looking at the increment is enough.
+    hot = crowded_keys(staged, hot_rows) if order == ORDER else None
+    folded = fold_versions(versions, order, hot)
     kind = (
         F.when(F.col("first_source") == 1, "insert")
         .when(F.col("was_deleted"), "revive")
@@ -68,7 +70,7 @@ def upsert_snapshot(
     current: DataFrame,
     staged: DataFrame,
     order: Sequence[str] = ("id",),
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The whole table after the upsert."""
     untouched = new_rows(current, staged).select(*_COLUMNS)
@@ -95,19 +97,24 @@ def change_summary(changes: DataFrame, marked_deleted: DataFrame | None = None)
     return counts.withColumn("export_needed", changed > 0)
 
 
-def merge_sources(sources: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def _merged(sources: DataFrame, hot_rows: int) -> DataFrame:
+    rows = sources.select(*_COLUMNS, "source_order")
+    return fold_versions(rows, hot=crowded_keys(rows, hot_rows))
+
+
+def merge_sources(sources: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Merge the rows of all sources (tagged `source_order`) into one table.
 
     An existing target is source 0.  A first version keeps its `deleted`; a
     later one that takes effect clears it, so a second copy revives a message
     another source has marked as deleted.
     """
-    return fold_versions(sources.select(*_COLUMNS, "source_order"), hot_rows=hot_rows).select(*_COLUMNS)
+    return _merged(sources, hot_rows).select(*_COLUMNS)
 
 
-def merge_counters(sources: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def merge_counters(sources: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows processed, inserted, updated and skipped by :func:`merge_sources`."""
-    folded = fold_versions(sources.select(*_COLUMNS, "source_order"), hot_rows=hot_rows)
+    folded = _merged(sources, hot_rows)
     total, effects = F.coalesce(F.sum("versions"), F.lit(0)), F.coalesce(F.sum("effects"), F.lit(0))
     keys = F.count(F.lit(1))
     return folded.agg(

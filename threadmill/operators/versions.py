@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.identifiers import topic_or_none
 from threadmill.operators.filters import content, flag
-from threadmill.operators.hotkeys import HOT_ROWS, split_hot
+from threadmill.operators.hotkeys import HOT_ROWS, hot_keys, split_hot
 from threadmill.schema import KEY
 
 # Ids are unique within a source, so a chunk of a hot key has at most this many rows.
@@ -77,37 +77,45 @@ def _takes_effect() -> Column:
 def _branches(
     versions: DataFrame,
     order: Sequence[str],
-    hot_rows: int | None,
+    hot: DataFrame | None,
     chunk_ids: int,
     keys: Sequence[str] = KEY,
 ) -> list[DataFrame]:
     versions = versions.withColumn("topic_id", topic_or_none(F.col("topic_id")))
-    if hot_rows is None:
+    if hot is None:
         parts = [_in_order(versions, order, keys)]
     else:
         if tuple(order) != ORDER:
             raise ValueError(f"hot keys are split along {ORDER}")
-        ordinary, hot = split_hot(versions, keys, hot_rows)
-        parts = [_in_order(ordinary, order, keys), _in_chunks(hot, chunk_ids, keys)]
+        ordinary, crowded = split_hot(versions, keys, hot)
+        parts = [_in_order(ordinary, order, keys), _in_chunks(crowded, chunk_ids, keys)]
     return [p.withColumn("takes_effect", _takes_effect()) for p in parts]
 
 
+def crowded_keys(
+    versions: DataFrame, hot_rows: int = HOT_ROWS, keys: Sequence[str] = KEY
+) -> DataFrame:
+    """Keys with very many versions; reads the key columns only."""
+    return hot_keys(versions.withColumn("topic_id", topic_or_none(F.col("topic_id"))), keys, hot_rows)
+
+
 def version_history(
-    versions: DataFrame, hot_rows: int | None = HOT_ROWS, chunk_ids: int = CHUNK_IDS
+    versions: DataFrame, hot: DataFrame | None = None, chunk_ids: int = CHUNK_IDS
 ) -> DataFrame:
     """Every version with its number and whether it takes effect.
 
-    `versions` has the message columns and `source_order`.
+    `versions` has the message columns and `source_order`; `hot` is as in
+    :func:`fold_versions`.
     """
-    parts = _branches(versions, ORDER, hot_rows, chunk_ids)
-    history = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return history.drop("previous")
+    hot = crowded_keys(versions) if hot is None else hot
+    ordinary, crowded = _branches(versions, ORDER, hot, chunk_ids)
+    return ordinary.unionByName(crowded).drop("previous")
 
 
 def fold_versions(
     versions: DataFrame,
     order: Sequence[str] = ORDER,
-    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
     chunk_ids: int = CHUNK_IDS,
     keys: Sequence[str] = KEY,
 ) -> DataFrame:
@@ -116,7 +124,8 @@ def fold_versions(
 
     Ordinary keys need one shuffle: the aggregation reuses the window's
     partitioning and order.  Hot keys are aggregated partially before theirs.
-    `hot_rows=None` drops the second branch, for inputs known to be small.
+    Which those are says `hot`, from :func:`crowded_keys`; without it all keys
+    are ordinary, as in a micro-batch.
     """
     columns = [c for c in versions.columns if c not in (*keys, "source_order")]
     winner = F.struct(*(c for c in columns if c not in ("id", "deleted")), "version_no")
@@ -146,5 +155,5 @@ def fold_versions(
             )
         )
 
-    folded = [fold(p) for p in _branches(versions, order, hot_rows, chunk_ids, keys)]
+    folded = [fold(p) for p in _branches(versions, order, hot, chunk_ids, keys)]
     return folded[0] if len(folded) == 1 else folded[0].unionByName(folded[1])

@@ -14,7 +14,7 @@ from threadmill.operators.aggregate import (
     posts,
     source_register,
 )
-from threadmill.operators.versions import fold_versions
+from threadmill.operators.versions import crowded_keys, fold_versions
 from threadmill.schema import KEY, MESSAGES
 
 
@@ -50,4 +50,6 @@ def merge_by_chat(sources: DataFrame) -> DataFrame:
         "source_name", F.col("chat_identifier").alias("merged_into")
     )
     rows = sources.join(chosen, "source_name").select(*MESSAGES.names, "source_order", "merged_into")
-    return fold_versions(rows, keys=("merged_into", *KEY)).select("merged_into", *MESSAGES.names)
+    keys = ("merged_into", *KEY)
+    merged = fold_versions(rows, hot=crowded_keys(rows, keys=keys), keys=keys)
+    return merged.select("merged_into", *MESSAGES.names)

@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions.times import iso_text
-from threadmill.operators.dedupe import chronological, dedupe_csv, dedupe_jsonl, exportable
+from threadmill.operators.dedupe import (
+    candidates,
+    chronological,
+    cleaned,
+    dedupe_csv,
+    dedupe_jsonl,
+)
 from threadmill.operators.filters import flag, in_chat
 from threadmill.schema import EXPORT_COLUMNS, JSONL_FIELDS
 
@@ -35,7 +41,8 @@ def _as_csv(rows: DataFrame, path: str, mode: str, mark: bool) -> None:
         named.write.mode(mode)
         .option("header", True)
         .option("escape", '"')
-        .option("lineSep", "\r\n")
+        # With "\r\n" the writer would turn every line feed inside a text into it.
+        .option("lineSep", "\n")
         .option("emptyValue", "")
         .option("nullValue", "")
         # Texts keep the spaces at their ends.
@@ -46,7 +53,10 @@ def _as_csv(rows: DataFrame, path: str, mode: str, mark: bool) -> None:
 
 
 def write_csv(messages: DataFrame, path: str, dedupe: str | None = None) -> None:
-    """Spreadsheet-friendly CSV: byte order mark and header in every file."""
+    """Spreadsheet-friendly CSV: byte order mark and header in every file.
+
+    Records end with a line feed; texts keep the line ends they have.
+    """
     _as_csv(csv_rows(messages, dedupe), path, "overwrite", mark=True)
 
 
@@ -66,15 +76,14 @@ def jsonl_rows(
     dedupe: str | None = None,
 ) -> DataFrame:
     """What the JSONL export holds, in order, as columns."""
-    rows = exportable(
-        in_chat(messages, chat_identifier, topic_id),
-        include_deleted,
-        include_service,
-        min_chars,
-        skip_hashtag_only,
-    )
-    if dedupe is not None:
-        rows = dedupe_jsonl(rows, dedupe)
+    rows = candidates(in_chat(messages, chat_identifier, topic_id), include_deleted, include_service)
+    if dedupe is None:
+        # Sorting first: finding the ranges reads its input once more, and
+        # would clean every text twice.
+        rows = cleaned(rows.orderBy(*chronological()), min_chars, skip_hashtag_only)
+    else:
+        rows = dedupe_jsonl(cleaned(rows, min_chars, skip_hashtag_only), dedupe)
+        rows = rows.orderBy(*chronological())
     fields = {
         "chat": F.col("chat_identifier"),
         "date": iso_text(F.col("date")),
@@ -82,7 +91,7 @@ def jsonl_rows(
         "is_service": flag(F.col("is_service")),
         "deleted": flag(F.col("deleted")),
     }
-    return rows.orderBy(*chronological()).select(
+    return rows.select(
         *(fields.get(name, F.col(name)).alias(name) for name in JSONL_FIELDS)
     )
 

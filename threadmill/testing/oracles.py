@@ -270,7 +270,7 @@ ORACLES["jsonl_written"] = ORACLES["jsonl_export"]
 
 ORACLES["csv_written"] = f"""WITH corpus AS ({CORPUS})
 SELECT chat_identifier, CAST(message_id AS VARCHAR) AS message_id,
- CAST(nullif(length(text), 0) AS BIGINT) AS chars FROM corpus"""
+ sha256(nullif(text, '')) AS digest FROM corpus"""
 
 ORACLES["jsonl_export_filtered"] = f"""WITH corpus AS ({CORPUS}),
 cleaned AS (SELECT *, {clean("text")} AS cleaned FROM corpus WHERE {HAS_TEXT}),

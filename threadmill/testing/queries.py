@@ -229,12 +229,12 @@ def jsonl_export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV files read back: one row per message, byte for byte the same text."""
+    """The CSV files read back: the texts are those that were written."""
     path = scratch(spark)
     exports.write_csv(fx.corpus(spark, sf_dir), path)
     back = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', lineSep="\n")
-    renamed = back.toDF(*(c.strip("\ufeff\r") for c in back.columns))
-    return renamed.select("chat_identifier", "message_id", F.length("text").cast("bigint").alias("chars"))
+    renamed = back.toDF(*(c.lstrip("\ufeff") for c in back.columns))
+    return renamed.select("chat_identifier", "message_id", F.sha2("text", 256).alias("digest"))
 
 
 @query
@@ -412,9 +412,9 @@ def filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def min_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.corpus(spark, sf_dir).withColumn("cleaned", tx.clean_text(F.col("text")))
-    return c.where(filters.worth_exporting(F.col("cleaned"), min_chars=20)).select(
-        "source_name", "id", F.length("cleaned").cast("bigint").alias("chars")
+    c = filters.computed_once(fx.corpus(spark, sf_dir), "text", tx.clean_text(F.col("text")))
+    return c.where(filters.worth_exporting(F.col("text"), min_chars=20)).select(
+        "source_name", "id", F.length("text").cast("bigint").alias("chars")
     )
 
 
@@ -501,7 +501,8 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def version_history_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with every key of two or more rows split into small chunks."""
-    history = versions.version_history(fx.corpus(spark, sf_dir), hot_rows=2, chunk_ids=1500)
+    c = fx.corpus(spark, sf_dir)
+    history = versions.version_history(c, versions.crowded_keys(c, hot_rows=2), chunk_ids=1500)
     return history.select(*_HISTORY)
 
 
@@ -592,7 +593,7 @@ def _deduped_csv(mode: str) -> Query:
 
 def _deduped_jsonl(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        kept = dedupe.dedupe_jsonl(dedupe.exportable(fx.corpus(spark, sf_dir)), mode)
+        kept = dedupe.dedupe_jsonl(dedupe.cleaned(dedupe.candidates(fx.corpus(spark, sf_dir))), mode)
         return tables.scan_project(kept)
 
     return run
