@@ -19,11 +19,27 @@ HOT_ROWS = 1_000_000
 # 1/20,000 of the rows, an ordinary task's share.  It also bounds the broadcast.
 MAX_HOT_KEYS = 20_000
 
+# Rows of a hot key that are enough to recognise it.
+TELLING_ROWS = 1_000
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys with at least `hot_rows` rows, at most MAX_HOT_KEYS."""
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], identity: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The largest keys with about `hot_rows` rows or more, at most MAX_HOT_KEYS.
+
+    Counting every row of mostly unique keys would shuffle a good part of the
+    table only to find a handful of keys.  So rows are first thinned out by a
+    hash of their `identity`, to about TELLING_ROWS rows of a key that is hot.
+    The hash depends on the row alone: the answer is the same however often,
+    and in whatever order, the plan is evaluated.  It decides which branch a
+    key takes, never what comes out.
+    """
+    one_in = max(1, hot_rows // TELLING_ROWS)
+    if one_in > 1:
+        df = df.where(F.pmod(F.xxhash64(*keys, *identity), F.lit(one_in)) == 0)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = counts.where(F.col("_rows") >= hot_rows).orderBy(F.desc("_rows"), *keys)
+    largest = counts.where(F.col("_rows") >= hot_rows // one_in).orderBy(F.desc("_rows"), *keys)
     return largest.limit(MAX_HOT_KEYS).select(*keys)
 
 

@@ -95,8 +95,9 @@ def _branches(
 def crowded_keys(
     versions: DataFrame, hot_rows: int = HOT_ROWS, keys: Sequence[str] = KEY
 ) -> DataFrame:
-    """Keys with very many versions; reads the key columns only."""
-    return hot_keys(versions.withColumn("topic_id", topic_or_none(F.col("topic_id"))), keys, hot_rows)
+    """Keys with very many versions; reads key and order columns only."""
+    normal = versions.withColumn("topic_id", topic_or_none(F.col("topic_id")))
+    return hot_keys(normal, keys, [c for c in ORDER if c in versions.columns], hot_rows)
 
 
 def version_history(
