@@ -46,6 +46,13 @@ def missing_messages(
     )
 
 
+def deletion_rows(missing: DataFrame) -> DataFrame:
+    """Missing messages as they must be stored, with `change_type`."""
+    return missing.withColumns(
+        {"deleted": F.lit(1), "updated_at": F.col("run_ts"), "change_type": F.lit("delete")}
+    ).drop("run_ts")
+
+
 def mark_deleted(
     messages: DataFrame, seen: DataFrame, scopes: DataFrame, earliest: object | None = None
 ) -> DataFrame:

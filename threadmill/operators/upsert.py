@@ -77,6 +77,12 @@ def upsert_snapshot(
     return untouched.unionByName(upsert_changes(current, staged, order, hot_rows).select(*_COLUMNS))
 
 
+def apply_log(current: DataFrame, log: DataFrame) -> DataFrame:
+    """The table with the rows of `log`, one per key, put in place of its own."""
+    rest = current.select(*_COLUMNS).join(log.select(*KEY), list(KEY), "left_anti")
+    return rest.select(*_COLUMNS).unionByName(log.select(*_COLUMNS))
+
+
 def change_summary(changes: DataFrame, marked_deleted: DataFrame | None = None) -> DataFrame:
     """One row of exact counts by kind of change, and whether exports must be rebuilt."""
     kinds = changes.select("change_type")

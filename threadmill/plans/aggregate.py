@@ -16,6 +16,7 @@ from threadmill.operators.aggregate import (
 )
 from threadmill.operators.versions import crowded_keys, fold_versions
 from threadmill.schema import KEY, MESSAGES
+from threadmill.sinks.shared import settled
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,11 @@ def merge_by_chat(sources: DataFrame) -> DataFrame:
     which chat's table a row belongs to.
 
     All chats at once.  A source goes into the table of its own chat with all
-    its rows, so that chat is part of the key.
+    its rows, so that chat is part of the key.  The groups, one row per source,
+    are computed first.
     """
-    chosen = merge_groups(sources).select(
-        "source_name", F.col("chat_identifier").alias("merged_into")
+    chosen = settled(
+        merge_groups(sources).select("source_name", F.col("chat_identifier").alias("merged_into"))
     )
     rows = sources.join(chosen, "source_name").select(*MESSAGES.names, "source_order", "merged_into")
     keys = ("merged_into", *KEY)

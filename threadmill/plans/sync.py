@@ -9,24 +9,26 @@ from pyspark.sql import functions as F
 
 from threadmill.operators.deletions import (
     checkpoint_update,
-    mark_deleted,
+    deletion_rows,
     missing_messages,
     seen_ids,
 )
-from threadmill.operators.upsert import change_summary, upsert_changes, upsert_snapshot
+from threadmill.operators.upsert import apply_log, change_summary, upsert_changes
+from threadmill.schema import MESSAGES
 from threadmill.sinks.exports import jsonl_rows, write_csv, write_jsonl
+from threadmill.sinks.shared import settled
 from threadmill.sources.raw import edit_rescan, incremental_scan
 
 
 @dataclass(frozen=True)
 class SyncRun:
-    """Lazy results of a run."""
+    """Results of a run.  `log` holds the rows it changed, with `change_type`;
+    log and summary are computed, the other two are lazy."""
 
-    changes: DataFrame
-    deletions: DataFrame
+    log: DataFrame
+    summary: DataFrame
     snapshot: DataFrame
     checkpoints: DataFrame
-    summary: DataFrame
 
 
 def sync_run(
@@ -42,24 +44,29 @@ def sync_run(
     `scanned` are flattened rows; `scopes` says which chats and topics were
     scanned, how far back, and whether completely.  Without an `edit_cutoff`
     the re-scan reaches back to `cutoff`.
+
+    The increment and the log are written to the shared folder: both are small
+    beside the table, and are joined to it.
     """
     fresh = incremental_scan(scanned, checkpoints, cutoff)
     again = edit_rescan(scanned, cutoff if edit_cutoff is None else edit_cutoff)
     staged = fresh.unionByName(again).distinct()
     if "id" not in staged.columns:
         staged = staged.withColumn("id", F.lit(None).cast("bigint"))
-    order = ("updated_at", "edit_date", "id")
+    staged = settled(staged)
 
-    changes = upsert_changes(current, staged, order)
-    upserted = upsert_snapshot(current, staged, order)
-    seen = seen_ids(fresh, again)
-    deletions = missing_messages(upserted, seen, scopes)
+    changes = upsert_changes(current, staged, ("updated_at", "edit_date", "id"))
+    seen = seen_ids(staged)
+    # What was seen cannot be missing, so the table before the upsert will do.
+    deletions = deletion_rows(missing_messages(current, seen, scopes))
+    columns = [*MESSAGES.names, "change_type"]
+    all_rows = settled(changes.select(*columns).unionByName(deletions.select(*columns)))
+    log = all_rows.where(F.col("change_type") != "unchanged")
     return SyncRun(
-        changes=changes,
-        deletions=deletions,
-        snapshot=mark_deleted(upserted, seen, scopes),
+        log=log,
+        summary=change_summary(all_rows),
+        snapshot=apply_log(current, log),
         checkpoints=checkpoint_update(checkpoints, scopes, seen),
-        summary=change_summary(changes, deletions),
     )
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,26 +81,27 @@ class MessageStore:
         log = self.spark.read.schema(schema).parquet(self._changes)
         return log if before_batch is None else log.where(F.col("batch_id") < before_batch)
 
-    def _narrowed(self, table: DataFrame, near: DataFrame | None) -> DataFrame:
-        """`table` without partitions in which no key of `near` can be.
+    def _around(self, near: DataFrame | None) -> Column:
+        """True for the partitions in which keys of `near` can be.
 
-        Reads partition values only, and gives up narrowing beyond MAX_PRUNED.
+        Collects partition values only, and gives up narrowing beyond MAX_PRUNED.
         """
         if near is None:
-            return table
+            return F.lit(True)
         wanted = self._placed(near.select(*KEY)).select("chat_bucket", "id_range").distinct()
         values = wanted.limit(MAX_PRUNED + 1).collect()
         if len(values) > MAX_PRUNED:
-            return table
+            return F.lit(True)
         buckets, ranges = {v.chat_bucket for v in values}, {v.id_range for v in values}
-        return table.where(F.col("chat_bucket").isin(buckets) & F.col("id_range").isin(ranges))
+        return F.col("chat_bucket").isin(buckets) & F.col("id_range").isin(ranges)
 
     def current(self, before_batch: int | None = None, near: DataFrame | None = None) -> DataFrame:
         """One row per key, as of the batches before `before_batch`; with
         `near`, at least all rows that share a key with it."""
-        base_schema = T.StructType([*MESSAGES.fields, *_PARTITIONS])
-        base = self._narrowed(self.spark.read.schema(base_schema).parquet(self._base), near)
-        log = self._narrowed(self.change_log(before_batch), near)
+        schema = T.StructType([*MESSAGES.fields, *_PARTITIONS])
+        around = self._around(near)
+        base = self.spark.read.schema(schema).parquet(self._base).where(around)
+        log = self.change_log(before_batch).where(around)
         newest = (
             log.groupBy(*KEY)
             .agg(F.max_by(F.struct(*MESSAGES.names), "batch_id").alias("row"))

@@ -422,21 +422,32 @@ FROM scopes AS s LEFT JOIN checkpoints AS c USING (chat_identifier, topic_id)
 
 ORACLES["dedupe_min_id"] = f"WITH {DELETION} SELECT * FROM known"
 
-ORACLES["sync_summary"] = f"""WITH {INCREMENT},
+SYNC = f"""{INCREMENT},
 known AS (SELECT * FROM keyed WHERE source_order <> 2),
 scanned AS (SELECT * FROM keyed WHERE source_order <> 1 AND date >= TIMESTAMP '{CUTOFF}'),
+gone AS (
+ SELECT k.* FROM known AS k ANTI JOIN scanned AS s USING ({KEY})
+ WHERE date >= TIMESTAMP '{CUTOFF}' AND coalesce(deleted, 0) = 0 AND chat_identifier <> 'error'),
+inserted AS (SELECT s.* FROM scanned AS s ANTI JOIN known AS k USING ({KEY})),
+revived AS (
+ SELECT s.* FROM scanned AS s
+ SEMI JOIN (SELECT * FROM known WHERE coalesce(deleted, 0) <> 0) AS k USING ({KEY}))"""
+
+ORACLES["sync_summary"] = f"""WITH {SYNC},
 counts AS (
- SELECT (SELECT count(*) FROM scanned AS s ANTI JOIN known AS k USING ({KEY})) AS inserted,
-  CAST(0 AS BIGINT) AS updated,
-  (SELECT count(*) FROM scanned AS s SEMI JOIN (SELECT * FROM known WHERE coalesce(deleted, 0) <> 0)
-    AS k USING ({KEY})) AS revived,
-  (SELECT count(*) FROM known AS k ANTI JOIN scanned AS s USING ({KEY})
-    WHERE date >= TIMESTAMP '{CUTOFF}' AND coalesce(deleted, 0) = 0 AND chat_identifier <> 'error')
-    AS deleted,
-  (SELECT count(*) FROM scanned AS s SEMI JOIN (SELECT * FROM known WHERE coalesce(deleted, 0) = 0)
-    AS k USING ({KEY})) AS unchanged)
+ SELECT (SELECT count(*) FROM inserted) AS inserted, CAST(0 AS BIGINT) AS updated,
+  (SELECT count(*) FROM revived) AS revived, (SELECT count(*) FROM gone) AS deleted,
+  (SELECT count(*) FROM scanned AS s
+    SEMI JOIN (SELECT * FROM known WHERE coalesce(deleted, 0) = 0) AS k USING ({KEY})) AS unchanged)
 SELECT *, inserted + updated + revived + deleted > 0 AS export_needed FROM counts"""
 
+ORACLES["sync_snapshot"] = f"""WITH {SYNC},
+changed AS (
+ SELECT * REPLACE (0 AS deleted) FROM inserted UNION ALL SELECT * REPLACE (0 AS deleted) FROM revived
+ UNION ALL SELECT * REPLACE (1 AS deleted, TIMESTAMP '{RUN_TS}' AS updated_at) FROM gone)
+SELECT {ROW} FROM changed
+UNION ALL SELECT {ROW} FROM known ANTI JOIN changed USING ({KEY})"""
+
 # --- aggregates -------------------------------------------------------------------
 
 ORACLES["table_stats"] = f"""WITH msgs AS ({MSGS})

@@ -6,8 +6,6 @@ a query means the same whenever it runs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +30,9 @@ from threadmill.operators import (
     versions,
 )
 from threadmill.plans.aggregate import merge_by_chat
-from threadmill.plans.sync import sync_run
+from threadmill.plans.sync import SyncRun, sync_run
 from threadmill.sinks import exports
+from threadmill.sinks.shared import scratch_path
 from threadmill.sinks.store import MessageStore
 from threadmill.sources import files, raw, tables
 from threadmill.streaming.ingest import stream_upsert as start_upsert
@@ -59,13 +58,6 @@ def query(function: Query) -> Query:
     return function
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder, or a local
-    one where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='threadmill-')}/{uuid.uuid4().hex}"
-
-
 def zoneless(df: DataFrame) -> DataFrame:
     """Timestamps as the test tables have them."""
     return df.select(
@@ -125,8 +117,9 @@ def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("sender"),
         "reply_to_msg_id",
     )
-    parsed = F.from_json(F.to_json(record), schema.RAW)
-    return m.select("chat_id", "chat_identifier", "topic_id", parsed.alias("r")).select(
+    scope = m.select("chat_id", "chat_identifier", "topic_id", F.to_json(record).alias("r"))
+    parsed = filters.computed_once(scope, "r", F.from_json("r", schema.RAW))
+    return parsed.select(
         "chat_id", "chat_identifier", "topic_id", "r.*"
     )
 
@@ -230,7 +223,7 @@ def jsonl_export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV files read back: the texts are those that were written."""
-    path = scratch(spark)
+    path = scratch_path(spark)
     exports.write_csv(fx.corpus(spark, sf_dir), path)
     back = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', lineSep="\n")
     renamed = back.toDF(*(c.lstrip("\ufeff") for c in back.columns))
@@ -240,7 +233,7 @@ def csv_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def jsonl_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSONL files read back."""
-    path = scratch(spark)
+    path = scratch_path(spark)
     exports.write_jsonl(exports.jsonl_rows(fx.corpus(spark, sf_dir)), path)
     fields = T.StructType(
         [
@@ -264,7 +257,7 @@ def jsonl_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after a base and one increment, read back."""
     fx.use_utc(spark)
-    store = MessageStore(spark, scratch(spark), buckets=4, ids_per_range=250).create()
+    store = MessageStore(spark, scratch_path(spark), buckets=4, ids_per_range=250).create()
     store.write_base(_zoned(current_table(spark, sf_dir)))
     staged = _zoned(staged_rows(spark, sf_dir))
     changes = upsert.upsert_changes(store.current(0, near=staged), staged)
@@ -509,7 +502,7 @@ def version_history_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _known_and_seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     m = fx.msgs(spark, sf_dir)
     known = dedupe.dedupe_min_id(m)
-    scanned = upsert.known_rows(staged_rows(spark, sf_dir), m)
+    scanned = staged_rows(spark, sf_dir).withColumn("topic_id", ids.topic_or_none(F.col("topic_id")))
     seen = deletions.seen_ids(scanned.where("source_order = 1"), scanned.where("source_order = 2"))
     return known, seen, scanned_scopes(m, LAST_RUN)
 
@@ -552,18 +545,26 @@ def edit_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert_changes(current_table(spark, sf_dir), young)
 
 
-@query
-def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a whole run: increment, re-scan, upsert, deletions."""
+def _sync(spark: SparkSession, sf_dir: str) -> SyncRun:
+    """A whole run: increment, re-scan, upsert, deletions."""
     m = fx.chronological_msgs(spark, sf_dir)
     normal = m.withColumn("topic_id", ids.topic_or_none(F.col("topic_id")))
     columns = [f.name for f in schema.MESSAGES]
     known = normal.where("source_order <> 2").select(*columns)
     scanned = normal.where("source_order <> 1").select(*columns)
-    run = sync_run(
+    return sync_run(
         known, earlier_checkpoints(spark, sf_dir), scanned, scanned_scopes(m, CUTOFF), CUTOFF
     )
-    return run.summary
+
+
+@query
+def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir).summary
+
+
+@query
+def sync_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir).snapshot
 
 
 # --- aggregates -------------------------------------------------------------------
@@ -663,7 +664,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("sender_username").alias("username")).alias("sender"),
         "reply_to_msg_id",
     )
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     store = MessageStore(spark, f"{folder}/store", buckets=4, ids_per_range=250).create()
     start_upsert(landed, store, f"{folder}/offsets").awaitTermination()
     return zoneless(store.current().select(*schema.EXPORT_COLUMNS))
@@ -705,7 +706,7 @@ def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
         .parquet(sf_dir)
     )
     admitted = stream_rate_admitted(events, "user_id", "ts", "event_id", RATE_LIMIT, RATE_WINDOW)
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     (
         admitted.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/offsets")
