@@ -17,6 +17,7 @@ from threadmill.operators.upsert import apply_log, change_summary, upsert_change
 from threadmill.schema import MESSAGES
 from threadmill.sinks.exports import jsonl_rows, write_csv, write_jsonl
 from threadmill.sinks.shared import settled
+from threadmill.sinks.store import MessageStore
 from threadmill.sources.raw import edit_rescan, incremental_scan
 
 
@@ -70,6 +71,25 @@ def sync_run(
     )
 
 
+def sync_store(
+    store: MessageStore,
+    batch_id: int,
+    scanned: DataFrame,
+    scopes: DataFrame,
+    cutoff: object,
+    edit_cutoff: object | None = None,
+) -> SyncRun:
+    """The same against a store, as its batch `batch_id`.
+
+    Running a batch again, after a failure, writes the same rows again.
+    """
+    current, checkpoints = store.current(batch_id), store.checkpoints(batch_id)
+    run = sync_run(current, checkpoints, scanned, scopes, cutoff, edit_cutoff)
+    store.write_changes(batch_id, run.log)
+    store.write_checkpoints(batch_id, run.checkpoints)
+    return run
+
+
 def export_if_changed(
     summary: DataFrame, messages: DataFrame, csv_path: str | None = None, jsonl_path: str | None = None
 ) -> bool:

@@ -2,11 +2,12 @@
 
 Plain Parquet files cannot be updated in place.  The store therefore has
 
-* `base/`, one row per key, and
-* `changes/batch_id=<n>/`, for every increment the rows it changed,
+* `base/`, one row per key,
+* `changes/batch_id=<n>/`, for every increment the rows it changed, and
+* `checkpoints/batch_id=<n>/`, how far it got in each chat and topic,
 
-both partitioned by `chat_bucket` and `id_range`, so that an increment reads
-only the part of the table its ids fall into.  Writing a batch replaces its own
+the first two partitioned by `chat_bucket` and `id_range`, so that an increment
+reads only the part of the table its ids fall into.  Writing a batch replaces its own
 folder and nothing else, and a batch is always computed from the batches before
 it: a repeated batch writes the same rows again, and a lost task or job damages
 nothing.  Readers see a batch once they ask for it by `before_batch`.
@@ -21,12 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.schema import KEY, MESSAGES, SCOPE
+from threadmill.schema import CHECKPOINTS, KEY, MESSAGES, SCOPE
 
 _PARTITIONS = [T.StructField("chat_bucket", T.IntegerType()), T.StructField("id_range", T.LongType())]
 _BATCH = T.StructField("batch_id", T.LongType())
 _KIND = T.StructField("change_type", T.StringType())
 
+# The batch a compacted store starts from.
+_BEFORE_ALL = -1
+
 # The driver looks at no more partition values than this to narrow a scan.
 MAX_PRUNED = 10_000
 
@@ -46,11 +50,14 @@ class MessageStore:
     def _changes(self) -> str:
         return f"{self.path}/changes"
 
+    @property
+    def _checkpoints(self) -> str:
+        return f"{self.path}/checkpoints"
+
     def create(self) -> MessageStore:
         """Make an empty store; leaves an existing one alone."""
-        for path, extra in ((self._base, []), (self._changes, [_KIND, _BATCH])):
-            schema = T.StructType([*MESSAGES.fields, *extra])
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        for path in (self._base, self._changes, self._checkpoints):
+            self.spark.createDataFrame([], MESSAGES).write.mode("ignore").parquet(path)
         return self
 
     def _placed(self, rows: DataFrame) -> DataFrame:
@@ -110,14 +117,24 @@ class MessageStore:
         rest = base.join(log.select(*KEY).distinct(), list(KEY), "left_anti")
         return rest.select(*MESSAGES.names).unionByName(newest)
 
+    def write_checkpoints(self, batch_id: int, scopes: DataFrame) -> None:
+        """Write how far a batch got: `last_message_id`, `last_run_ts` per scope."""
+        rows = scopes.select(*CHECKPOINTS.names)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self._checkpoints}/batch_id={batch_id}")
+
     def checkpoints(self, before_batch: int | None = None) -> DataFrame:
-        """Highest message id and latest run per chat and topic."""
-        return self.current(before_batch).groupBy(*SCOPE).agg(
-            F.max("message_id").alias("last_message_id"), F.max("updated_at").alias("last_run_ts")
+        """Highest message id and latest run per scope, over all batches."""
+        schema = T.StructType([*CHECKPOINTS.fields, _BATCH])
+        written = self.spark.read.schema(schema).parquet(self._checkpoints)
+        if before_batch is not None:
+            written = written.where(F.col("batch_id") < before_batch)
+        return written.groupBy(*SCOPE).agg(
+            F.max("last_message_id").alias("last_message_id"), F.max("last_run_ts").alias("last_run_ts")
         )
 
     def compact(self, path: str, before_batch: int | None = None) -> MessageStore:
         """A new store at `path` with the current rows as its base."""
         compacted = MessageStore(self.spark, path, self.buckets, self.ids_per_range).create()
         compacted.write_base(self.current(before_batch))
+        compacted.write_checkpoints(_BEFORE_ALL, self.checkpoints(before_batch))
         return compacted

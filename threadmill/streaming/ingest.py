@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threadmill.operators.filters import content, since
 from threadmill.operators.upsert import upsert_changes
-from threadmill.schema import LANDED
+from threadmill.schema import LANDED, SCOPE
 from threadmill.sinks.store import MessageStore
 from threadmill.sources.raw import canonical_scope, flatten_raw
 
@@ -23,6 +23,13 @@ def landed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return reader.json(path)
 
 
+def reached(staged: DataFrame) -> DataFrame:
+    """Checkpoints after the rows of an increment."""
+    return staged.groupBy(*SCOPE).agg(
+        F.max("message_id").alias("last_message_id"), F.max("updated_at").alias("last_run_ts")
+    )
+
+
 def stream_upsert(
     landed: DataFrame, store: MessageStore, checkpoint: str, cutoff: object | None = None
 ) -> StreamingQuery:
@@ -49,6 +56,7 @@ def stream_upsert(
         try:
             current = store.current(before_batch=batch_id, near=staged)
             store.write_changes(batch_id, upsert_changes(current, staged, _ORDER))
+            store.write_checkpoints(batch_id, reached(staged))
         finally:
             staged.unpersist()
 
