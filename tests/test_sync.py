@@ -44,7 +44,7 @@ def counts(run):
 
 
 def test_runs(spark, tmp_path):
-    store = MessageStore(spark, str(tmp_path / "store"), buckets=2, ids_per_range=50).create()
+    store = MessageStore(spark, str(tmp_path / "store"), buckets=2).create()
     cutoff = str(NOW - timedelta(days=30))
 
     first = sync_store(store, 0, scan(spark, 0, {40: "old", 20: "a", 10: "b", 5: "c"}), scopes(spark, 0), cutoff)

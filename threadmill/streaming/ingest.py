@@ -35,6 +35,10 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Upsert every micro-batch of landed records into the store.
 
+    Micro-batches apply in the order they arrive, as runs do: a file source
+    takes files by modification time.  Within one, records apply in the order
+    they were scanned, whatever files they are in.
+
     `cutoff` drops older records with a plain filter: a watermark would also
     drop records of files that merely arrive out of order.  Exact copies within
     a micro-batch collapse before the upsert, so a message landed many times
