@@ -35,7 +35,10 @@ def _in_order(versions: DataFrame, order: Sequence[str], keys: Sequence[str]) ->
     """Number versions and look back, one window per key."""
     by_key = Window.partitionBy(*keys).orderBy(*order)
     return versions.withColumns(
-        {"version_no": F.row_number().over(by_key), "previous": F.lag(_state()).over(by_key)}
+        {
+            "version_no": F.row_number().over(by_key).cast("bigint"),
+            "previous": F.lag(_state()).over(by_key),
+        }
     )
 
 
@@ -43,7 +46,9 @@ def _in_chunks(versions: DataFrame, chunk_ids: int, keys: Sequence[str]) -> Data
     """The same for hot keys: windows over (key, source, id range), then over
     one summary row per chunk, which tells each chunk how many versions came
     before it and what the last of them was."""
-    chunked = versions.withColumn("_range", F.floor(F.col("id") / chunk_ids))
+    # A missing id sorts first, and so must its range.
+    id_range = F.coalesce(F.floor(F.col("id") / chunk_ids), F.lit(-(2**63)))
+    chunked = versions.withColumn("_range", id_range)
     chunk = [*keys, "source_order", "_range"]
     in_chunk = Window.partitionBy(*chunk).orderBy("id")
     over_chunks = Window.partitionBy(*keys).orderBy("source_order", "_range")
@@ -62,7 +67,7 @@ def _in_chunks(versions: DataFrame, chunk_ids: int, keys: Sequence[str]) -> Data
     number = F.col("_no") + F.coalesce("_offset", F.lit(0))
     return (
         rows.join(summary, chunk)
-        .withColumn("version_no", number.cast("int"))
+        .withColumn("version_no", number)
         .withColumn("previous", F.when(F.col("_no") == 1, F.col("_carried")).otherwise(F.col("_before")))
         .drop("_range", "_no", "_before", "_offset", "_carried")
     )

@@ -42,7 +42,8 @@ def stream_rate_admitted(
         rows = pd.concat(list(frames)).sort_values(["_t", tie])
         flags, recent = admit(rows["_t"].to_numpy(), recent, limit, span)
         state.update((recent.tolist(),))
-        yield rows[[key, tie]].assign(admitted=flags)
+        name = None if pd.isna(group[0]) else group[0]
+        yield pd.DataFrame({key: [name] * len(rows), tie: rows[tie].to_numpy(), "admitted": flags})
 
     return timed.groupBy(key).applyInPandasWithState(
         evaluate,

@@ -370,7 +370,7 @@ SELECT count(*) AS processed, count(*) FILTER (version_no = 1) AS inserted,
 FROM numbered"""
 
 ORACLES["version_history"] = f"""WITH {KEYED}, {fold("keyed_corpus")}
-SELECT {KEY}, source_order, id, CAST(version_no AS INT) AS version_no, takes_effect FROM numbered"""
+SELECT {KEY}, source_order, id, version_no, takes_effect FROM numbered"""
 ORACLES["version_history_split"] = ORACLES["version_history"]
 
 GROUPS = """first_chats AS (
