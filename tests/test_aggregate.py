@@ -15,7 +15,7 @@ from threadmill.operators.stats import chat_profile, listed_chats, table_stats
 from threadmill.plans.aggregate import aggregate_sources, merge_by_chat
 from threadmill.schema import MESSAGES
 from threadmill.sources.files import file_catalog, source_catalog
-from threadmill.sources.tables import multi_source_scan, read_sources
+from threadmill.sources.tables import multi_source_scan, read_source_folders, read_sources
 
 START = datetime(2024, 1, 1)
 
@@ -162,6 +162,26 @@ def test_old_tables(spark, tmp_path):
     assert read_sources(spark, [("s", path)]).first().source_path == path
 
 
+def test_source_folders_are_one_scan(spark, tmp_path):
+    root = str(tmp_path / "sources")
+    new = spark.createDataFrame(source_rows(1), MESSAGES)
+    old = new.select("id", "chat_identifier", "message_id", "date", "text")
+    new.write.parquet(f"{root}/source_name=new")
+    old.write.parquet(f"{root}/source_name=old")
+    new.write.parquet(f"{root}/source_name=other")
+    got = read_source_folders(spark, root, ["old", "new"])
+    expected = multi_source_scan(
+        [
+            ("old", f"{root}/source_name=old", old),
+            # A NULL flag means the same as 0 everywhere.
+            ("new", f"{root}/source_name=new", new.fillna(0, ["deleted"])),
+        ]
+    )
+    assert got.columns == expected.columns
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 1
+
+
 def test_min_id_wins(spark):
     rows = [(3, "room", None, 1), (2, "room", -1, 1), (1, "room", 0, 1), (4, "hall", None, 1)]
     df = spark.createDataFrame(rows, "id bigint, chat_identifier string, topic_id bigint, message_id bigint")
