@@ -783,5 +783,4 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Archives are kept for 70 days here, so that some of each class expire.
-    return retention.expired(_artifacts(spark, sf_dir), RETENTION_NOW, {"archives": 90})
+    return retention.expired(_artifacts(spark, sf_dir), RETENTION_NOW)
