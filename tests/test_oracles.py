@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from threadmill.testing.oracles import ORACLES
+from threadmill.testing.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -33,10 +35,10 @@ def duck(sf_dir):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"file_catalog"}
+    assert set(QUERIES) - set(ORACLES) == {"file_catalog"}
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(name, spark, duck, sf_dir):
     ours = queries()[name](spark, sf_dir)
     theirs = duck.sql(oracle_sql()[name])
