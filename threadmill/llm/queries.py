@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.llm.chats import conversation_digests, format_conversations
+from threadmill.llm.language import fit_language, predict_language
 from threadmill.llm.mixing import mix_sources
+from threadmill.llm.quality import fit_quality, score_quality
 from threadmill.llm.sharding import byte_shards
 from threadmill.llm.tokens import token_ids
 from threadmill.llm.zipwarc import archived_pages
@@ -66,3 +68,21 @@ def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = fit_language(docs.where(remainder != 2))
+    marked = docs.select("doc_id", "text", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"))
+    return predict_language(marked, model, carry=("doc_id", "held_out"))

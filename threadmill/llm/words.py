@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -74,13 +74,14 @@ class Chunk:
     first: int
     data: np.ndarray
     offsets: np.ndarray
+    separators: np.ndarray = field(default_factory=lambda: _SPACE)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
     @cached_property
     def _tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        inside = ~_SPACE[self.data]
+        inside = ~self.separators[self.data]
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         opens, closes = self.offsets[:-1], self.offsets[1:] - 1
