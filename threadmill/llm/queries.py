@@ -12,6 +12,7 @@ from threadmill.llm.language import fit_language, predict_language
 from threadmill.llm.mixing import mix_sources
 from threadmill.llm.quality import fit_quality, score_quality
 from threadmill.llm.sharding import byte_shards
+from threadmill.llm.substrings import remove_repeated
 from threadmill.llm.tokens import token_ids
 from threadmill.llm.zipwarc import archived_pages
 
@@ -86,3 +87,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_language(docs.where(remainder != 2))
     marked = docs.select("doc_id", "text", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"))
     return predict_language(marked, model, carry=("doc_id", "held_out"))
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(_table(spark, sf_dir, "documents"))
