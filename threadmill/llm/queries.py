@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.llm.chats import conversation_digests, format_conversations
+from threadmill.llm.jaccard import jaccard_groups
 from threadmill.llm.language import fit_language, predict_language
 from threadmill.llm.mixing import mix_sources
 from threadmill.llm.quality import fit_quality, score_quality
@@ -92,3 +93,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
