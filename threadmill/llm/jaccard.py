@@ -256,17 +256,9 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of `docs` (doc_id, text).
-
-    A document's set is its distinct shingles of five words, with A-Z in lower
-    case; with fewer words the whole sequence is the one shingle.  Two documents
-    are linked if 100 * shared >= 75 * union; component_id is the smallest doc_id
-    that links reach.  Rows with equal sets are linked.  A null text or one
-    without words has an empty set and its own id; null ids count last, and a
-    component of null ids only has a null id.  An empty table gives an empty one.
-    Other columns are ignored.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Rows with words: doc_id, text_key, n, component (a label) and component_id;
+    and rows without: the same with a null component."""
     sets = settled(shingle_sets(docs))
     classes = settled(
         sets.where("n > 0")
@@ -279,12 +271,55 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "cls")
     )
     ids = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))
-    # Only classes with more than one document or a link have another id than their own.
-    of_class = named.join(ids, "component").select("cls", "component_id")
-    found = sets.where("n > 0").join(of_class, "cls").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"
-    )
+    of_class = named.join(ids, "component").select("cls", "component", "component_id")
+    found = sets.where("n > 0").join(of_class, "cls").drop("cls")
     empty = sets.where("n = 0").select(
-        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")
+        "doc_id",
+        "text_key",
+        "n",
+        F.lit(None).cast("long").alias("component"),
+        F.col("doc_id").alias("component_id"),
     )
     return found.unionByName(empty)
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of `docs` (doc_id, text).
+
+    A document's set is its distinct shingles of five words, with A-Z in lower
+    case; with fewer words the whole sequence is the one shingle.  Two documents
+    are linked if 100 * shared >= 75 * union; component_id is the smallest doc_id
+    that links reach.  Rows with equal sets are linked.  A null text or one
+    without words has an empty set and its own id; null ids count last, and a
+    component of null ids only has a null id.  An empty table gives an empty one.
+    Other columns are ignored.
+    """
+    return _labelled(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each component: that with the smallest doc_id (of
+    equal ids, one with the smallest text hash).  Rows without words all stay."""
+    labelled = settled(_labelled(docs).select("doc_id", "text_key", "component"))
+    ranked = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")
+    first = (
+        labelled.where("component IS NOT NULL")
+        .groupBy("component")
+        .agg(F.min(ranked).alias("r"))
+        .select("component", F.col("r.doc_id").alias("first_id"), F.col("r.text_key").alias("first_key"))
+    )
+    rows = labelled.where("component IS NOT NULL").groupBy("component", "doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    # Rows that go, and rows that stay but are there more than once.
+    marked = settled(
+        rows.join(first, "component")
+        .where(~stays | (F.col("copies") > 1))
+        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), stays.alias("_stays"))
+    )
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    unique = keyed.join(small_side(marked), same, "left_anti")
+    twice = keyed.join(small_side(marked.where("_stays")), same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return unique.unionByName(twice).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import n_words, running_totals, settled, small_side
+from threadmill.llm.common import WORD, n_words, running_totals, settled, small_side
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -52,9 +52,9 @@ def source_quotas(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     later = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.col("share") - F.coalesce(F.sum("most").over(earlier), F.lit(0.0))) / F.sum("weight").over(later)
     levels = named.withColumn("level", level)
-    reached = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("most", "number", "level"))
-    rank = F.struct((F.col("most") / F.col("weight")).alias("r"), F.col("number").alias("n"), F.col("level").alias("level"))
-    final = F.min(F.when(reached.isNotNull(), rank)).over(everything)["level"]
+    place = F.struct((F.col("most") / F.col("weight")).alias("at"), "number", "level")
+    below = F.col("level") * F.col("weight") <= F.col("most")
+    final = F.min(F.when(below, place)).over(everything)["level"]
     whole = F.lit(float(block_words))
     targets = levels.withColumn("target", F.least("most", F.coalesce(final, F.lit(0.0)) * F.col("weight")))
     counted = targets.withColumns(
@@ -220,3 +220,40 @@ def mix_sources(
             (F.col("epochs") * F.col("size") + words).alias("taken"),
         )
     )
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, source, text and others) as the mix takes them.
+
+    A row comes once for each whole epoch, and once more with the words of its
+    extra blocks, joined by a space, if it has any; n_chars, where there is
+    such a column, is that of the new text.  Rows without words are in no mix.
+    """
+    key = ["_id", "_source", "_hash"]
+    takes = (
+        mix_sources(docs)
+        .where("taken > 0")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
+        .agg(F.collect_list(F.struct("epochs", "spans")).alias("_takes"))
+    )
+    takes = settled(takes)
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_id"))
+        & F.col("source").eqNullSafe(F.col("_source"))
+        & (F.xxhash64("text") == F.col("_hash"))
+    )
+    # Rows that are there more than once share a key: one of them brings the text.
+    single = docs.join(small_side(takes.where(F.size("_takes") == 1), 256), same)
+    several = docs.join(small_side(takes.where(F.size("_takes") > 1), 256), same).dropDuplicates(key)
+    taken = single.unionByName(several).withColumn("_take", F.explode("_takes"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.transform(
+        "_take.spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
+    )
+    whole = F.array_repeat(F.col("text"), F.col("_take.epochs").cast("int"))
+    part = F.when(F.size("_take.spans") > 0, F.array(F.array_join(F.flatten(cut), " "))).otherwise(
+        F.array().cast("array<string>")
+    )
+    rows = taken.withColumn("_text", F.explode(F.concat(whole, part)))
+    values = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])

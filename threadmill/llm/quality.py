@@ -209,6 +209,7 @@ def score_quality(
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
     carried = docs.select(*carry).schema.fields
+    text_at = carry.index("text") if "text" in carry else len(carry)
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in carried]
         + [T.StructField(c, T.LongType()) for c in _COUNTS]
@@ -222,7 +223,7 @@ def score_quality(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
+            for chunk in chunks(batch.column(text_at)):
                 counts = base_counts(chunk)
                 failed = (counts["n_words"] < LEAST_WORDS) | (
                     100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"]
@@ -232,9 +233,20 @@ def score_quality(
                 else:
                     p = model.probabilities(chunk)
                     verdict = ~failed & (p >= keep_from)
-                columns = [batch.column(1 + i).slice(chunk.first, len(chunk)) for i in range(len(carried))]
+                columns = [batch.column(i).slice(chunk.first, len(chunk)) for i in range(len(carried))]
                 columns += [pa.array(counts[c].astype(np.int64)) for c in _COUNTS]
                 columns += [pa.array(failed), pa.array(p) if model is not None else p, pa.array(verdict)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col("text").alias("_scored"), *carry).mapInArrow(score, schema)
+    more = [] if "text" in carry else ["text"]
+    return docs.select(*carry, *more).mapInArrow(score, schema)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns only."""
+    clash = set(docs.columns) & {*_COUNTS, "base_failed", "probability", "kept"}
+    if clash:
+        renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+        return good_documents(renamed, labels).withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)
+    scored = score_quality(docs, fit_quality(docs, labels), carry=tuple(docs.columns))
+    return scored.where("kept").select(*docs.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.llm.chats import conversation_digests, format_conversations
+from threadmill.llm.decontaminate import contaminated
 from threadmill.llm.jaccard import jaccard_groups
 from threadmill.llm.language import fit_language, predict_language
 from threadmill.llm.mixing import mix_sources
@@ -98,3 +99,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "first_word", "n_words")
