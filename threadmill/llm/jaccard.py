@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.llm.common import partitions, settled, small_side
@@ -22,8 +23,9 @@ FREQUENT = 64
 GROUPING = 8
 MEMBERS_AT_ONCE = 128
 
-_HALF = np.uint64(1 << 63)
+_OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 _SETS = "doc_id long, text_key long, n int, cls long"
+_COMPARED = "a long, b long, shared long, n_a long, n_b long, linked boolean, extra array<long>"
 _POSTINGS = "sig long, cls long, n int, whole boolean"
 
 
@@ -34,32 +36,27 @@ def _classes_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _combinations(tokens: np.ndarray, singles: np.ndarray, need: int, level: int) -> list[np.ndarray]:
-    """Signatures of a document with few rare tokens: pairs of its frequent
-    `tokens` within groups, then `singles`, until losing `need` - 1 of the tokens
-    used cannot lose all signatures.
-
-    A group of k tokens withstands the loss of k - 2, so it counts k - 1."""
-    groups = (mix(tokens ^ _HALF) % np.uint64(max(1, (1 << level) // GROUPING))).astype(np.int64)
+def _combinations(tokens: np.ndarray, need: int, level: int) -> np.ndarray:
+    """Pairs of the first frequent `tokens`, within groups, so many that losing
+    any `need` - 1 of these tokens leaves one: a group of k tokens withstands
+    the loss of k - 2, so it counts k - 1."""
+    groups = (mix(tokens ^ _OTHER) % np.uint64(max(1, (1 << level) // GROUPING))).astype(np.int64)
     order = np.argsort(groups, kind="stable")
     first = np.ones(len(tokens), bool)
     first[order[1:]] = groups[order[1:]] != groups[order[:-1]]
     gained = np.cumsum(~first)  # in the order of the tokens, how many were not the first of their group
-    used = min(int(np.searchsorted(gained, need)) + 1, len(tokens)) if need > 0 else 0
+    used = min(int(np.searchsorted(gained, need)) + 1, len(tokens))
     tokens, groups = tokens[:used], groups[:used]
-    out = []
     order = np.argsort(groups, kind="stable")
     tokens, groups = tokens[order], groups[order]
     cuts = np.flatnonzero(np.diff(groups, prepend=-1, append=-2))
     salt = mix(np.array([level + 1], np.uint64))[0]
+    out = [np.zeros(0, np.uint64)]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if b - a > 1:
             i, j = np.triu_indices(b - a, 1)
             out.append(mix(tokens[a + i] ^ mix(tokens[a + j] ^ salt)))
-    left = need - (int(gained[used - 1]) if used else 0)
-    if left > 0:
-        out.append(singles[:left])
-    return out
+    return np.concatenate(out)
 
 
 def _levels(n: int) -> list[int]:
@@ -69,7 +66,19 @@ def _levels(n: int) -> list[int]:
     return [level, level + 1] if 100 * n >= PERCENT * (2 << level) else [level]
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def counted_tokens(docs: DataFrame) -> Broadcast:
+    """Bitmaps of the tokens in two documents or more, and of the frequent ones."""
+
+    def counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for chunk in chunks(batch.column(0), lower=True):
+            hashes, _ = distinct_sets(chunk, SHINGLE)
+            yield hashes
+
+    maps = frequent(docs.select("text"), counted, [2, FREQUENT + 1])
+    return docs.sparkSession.sparkContext.broadcast(maps)
+
+
+def postings(docs: DataFrame, shipped: Broadcast) -> DataFrame:
     """Signatures (sig) of each class of equal sets (cls): similar sets share one.
 
     Sets x and y with 100 |x & y| >= 75 |x | y| differ in at most e = n - ceil(.75 n)
@@ -77,22 +86,12 @@ def postings(docs: DataFrame) -> DataFrame:
     signature that y has too as soon as losing any e of them leaves one.  Rare
     tokens come first, by hash, each a signature; e + 1 of them are enough.  Where
     there are fewer, the prefix is extended by frequent tokens, of which pairs
-    are signatures, and by tokens of the other half.
+    are signatures; a set of two tokens or more always has enough of them.
 
-    Frequencies are counted for all documents, for the half of the tokens with
-    small hashes, from which nearly all prefixes come; the other half comes last,
-    as single tokens.  A rare token in one document only can link nothing and is
-    left out.  `whole` says that all tokens of the prefix are rare.
+    Frequencies are counted over all documents.  A rare token in one document
+    only can link nothing and is left out.  `whole` says that all tokens of the
+    prefix are rare.
     """
-    spark = docs.sparkSession
-
-    def counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for chunk in chunks(batch.column(0), lower=True):
-            hashes, _ = distinct_sets(chunk, SHINGLE)
-            yield hashes[hashes < _HALF] << np.uint64(1)
-
-    shipped = spark.sparkContext.broadcast(frequent(docs.select("text"), counted, [2, FREQUENT + 1]))
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, often = shipped.value
         seen: set[int] = set()
@@ -108,25 +107,23 @@ def postings(docs: DataFrame) -> DataFrame:
                 text = np.repeat(np.arange(len(chunk)), sizes)
                 use = fresh[text]
                 hashes, text = hashes[use], text[use]
-                low = hashes < _HALF
-                kind = np.where(low, 0, 2).astype(np.int8)
-                kind[low] = often.has(hashes[low] << np.uint64(1))
+                kind = often.has(hashes)
                 order = np.lexsort((hashes, kind, text))
                 hashes, text, kind = hashes[order], text[order], kind[order]
                 starts = np.searchsorted(text, np.arange(len(chunk) + 1))
                 need = sizes - (PERCENT * sizes + 99) // 100 + 1
-                rare = np.bincount(text[kind == 0], minlength=len(chunk))
+                rare = np.bincount(text[~kind], minlength=len(chunk))
                 whole = rare >= need
                 place = np.arange(len(text)) - starts[text]
-                single = (kind == 0) & (place < need[text])
-                single[single] = repeated.has(hashes[single] << np.uint64(1))
+                single = ~kind & (place < need[text])
+                single[single] = repeated.has(hashes[single])
                 sigs, owners = [hashes[single]], [text[single]]
                 for i in np.flatnonzero(fresh & ~whole).tolist():
                     own, own_kind = hashes[starts[i] : starts[i + 1]], kind[starts[i] : starts[i + 1]]
                     for level in _levels(int(sizes[i])):
-                        for some in _combinations(own[own_kind == 1], own[own_kind == 2], int(need[i] - rare[i]), level):
-                            sigs.append(some)
-                            owners.append(np.full(len(some), i))
+                        pairs = _combinations(own[own_kind], int(need[i] - rare[i]), level)
+                        sigs.append(pairs)
+                        owners.append(np.full(len(pairs), i))
                 sig, owner = np.concatenate(sigs), np.concatenate(owners)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -161,8 +158,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, from their texts.
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shipped: Broadcast) -> DataFrame:
+    """The pairs (a, b) of classes compared by their texts: shared, the sizes
+    n_a and n_b, linked, and, where b has half of a's tokens or more, those of
+    the others (extra) that more than one document has.
 
     Members a of the same b are compared in groups of about MEMBERS_AT_ONCE, each
     with a text of b of its own; some groups together are one task's table."""
@@ -202,58 +201,101 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
         hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
         row = np.repeat(np.arange(len(sizes)), sizes)
         keys = mix(hashes ^ mix(group[row].astype(np.uint64) + np.uint64(1)))
-        of_head = head[group[row]] == row
-        known = np.sort(keys[of_head])
+        known = np.sort(keys[head[group[row]] == row])
         at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        shared = np.bincount(row[known[at] == keys], minlength=len(sizes)) if len(known) else np.zeros(len(sizes), int)
-        union = sizes + sizes[head[group]] - shared
-        linked = (100 * shared >= PERCENT * union) & (a != b)
-        return pa.table({"a": a[linked], "b": b[linked]})
-
-    return grouped.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+        inside = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        shared = np.bincount(row[inside], minlength=len(sizes))
+        n_b = sizes[head[group]]
+        linked = 100 * shared >= PERCENT * (sizes + n_b - shared)
+        kept = np.zeros(len(a), bool)
+        kept[np.unique(np.stack([group, a]), axis=1, return_index=True)[1]] = True
+        kept &= a != b
+        outside = ~inside & (kept & (2 * shared >= sizes))[row]
+        outside[outside] = shipped.value[0].has(hashes[outside])
+        ends = np.cumsum(np.bincount(row[outside], minlength=len(sizes)))
+        extra = pa.ListArray.from_arrays(
+            np.concatenate([[0], ends]).astype(np.int32), pa.array(hashes[outside].view(np.int64))
+        )
+        columns = {"a": a, "b": b, "shared": shared, "n_a": sizes, "n_b": n_b, "linked": linked, "extra": extra}
+        return pa.table(columns).filter(pa.array(kept))
+
+    return grouped.groupBy("bucket").applyInArrow(compare, _COMPARED)
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different sets that connect all that are
     connected by similar pairs.
 
-    First each class is compared with one partner, of the smallest classes of
-    its signatures the one met most often; that joins groups of any size without
-    all their pairs.  Then, for signatures whose classes are not all joined yet,
-    the pairs across what is joined are compared; a pair goes on if its sizes
-    allow, and, where both prefixes are of rare tokens, if so many of these are
-    shared that the rest of the sets could do."""
-    posted = settled(postings(docs))
-    heads = posted.groupBy("sig").agg(F.min("cls").alias("b"), F.max("cls").alias("_last")).where("b <> _last").drop("_last")
-    starred = posted.join(settled(heads), "sig").where("cls <> b")
-    votes = starred.groupBy("cls", "b").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("votes", "b")).alias("best")).select("a", "best.b")
-    first = settled(verified(docs, classes, best))
-    joined = settled(components(first))
-    labels = joined.select(F.col("node").alias("cls"), "component")
-    marked = settled(
-        posted.join(settled(heads.select("sig")), "sig", "left_semi")
-        .join(small_side(labels, 64), "cls", "left")
-        .withColumn("component", F.coalesce("component", "cls"))
+    First each class is compared with one partner p.  A class is central if its
+    signatures are those of many others; the most central class of each
+    signature is proposed, and the one proposed most often taken.  That joins
+    groups of any size without all their pairs.
+
+    Then the pairs across what is joined are compared, for signatures whose
+    classes are not all joined yet.  A pair (u, v) goes on if its sizes allow, and,
+    where both prefixes are of rare tokens, if so many of these are shared that
+    the rest of the sets could do.  Where both were compared with the same p,
+    min(|u & p|, |v & p|) and min(|u - p|, |v - p|) together must do; and if
+    the former does not alone, they must share a token that p has not: then
+    near sets (p has half of each) meet at these tokens instead of signatures."""
+    shipped = counted_tokens(docs)
+    posted = settled(postings(docs, shipped))
+    met = posted.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = settled(posted.join(met, "sig"))
+    central = shared.groupBy("cls").agg((F.sum("df") / F.first("n")).alias("central"))
+    heads = (
+        shared.join(central, "cls")
+        .groupBy("sig")
+        .agg(F.max(F.struct("central", "cls")).alias("head"))
+        .select("sig", F.col("head.cls").alias("b"))
     )
-    mixed = settled(
-        marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    votes = shared.join(settled(heads), "sig").where("cls <> b").groupBy("cls", "b").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("votes", "b")).alias("best")).select("a", "best.b")
+    first = settled(verified(docs, classes, best, shipped))
+    labels = settled(components(first.where("linked")))
+    of_partner = first.select(F.col("a").alias("cls"), F.col("b").alias("p"), F.col("shared").alias("inside"))
+    own = F.coalesce("component", "cls").alias("component")
+    facts = settled(
+        shared.select("cls", "n", "whole")
+        .distinct()
+        .join(of_partner, "cls", "left")
+        .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        .select("cls", "n", "whole", own, F.coalesce("p", "cls").alias("p"), F.coalesce("inside", "n").alias("inside"))
     )
+    marked = settled(shared.select("sig", "cls").join(facts, "cls"))
+    mixed = marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
     rest = settled(marked.join(mixed, "sig", "left_semi"))
-    other = rest.select(*[F.col(c).alias(f"_{c}") for c in rest.columns])
-    sizes = (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")) & (F.col("component") != F.col("_component"))
-    met = rest.join(other, (F.col("sig") == F.col("_sig")) & (F.col("cls") > F.col("_cls")) & sizes)
-    counted = met.groupBy(F.col("cls").alias("a"), F.col("_cls").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.first("n").alias("n"),
-        F.first("_n").alias("m"),
-        F.first(F.col("whole") & F.col("_whole")).alias("whole"),
+    far = first.select(F.col("a").alias("cls"), F.explode("extra").alias("token")).join(facts, "cls")
+
+    both = F.col("n") + F.col("_n")
+    inside = F.least("inside", "_inside")
+    outside = F.least(F.col("n") - F.col("inside"), F.col("_n") - F.col("_inside"))
+    near = (2 * F.col("inside") >= F.col("n")) & (2 * F.col("_inside") >= F.col("_n"))
+    could = (
+        (F.col("cls") > F.col("_cls"))
+        & (F.col("component") != F.col("_component"))
+        & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
+        & ((F.col("p") != F.col("_p")) | ((100 + PERCENT) * (inside + outside) >= PERCENT * both))
     )
+    at_tokens = (F.col("p") == F.col("_p")) & near & ((100 + PERCENT) * inside < PERCENT * both)
+
+    def pairs(table: DataFrame, key: str, condition: Column) -> DataFrame:
+        other = table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
+        found = table.join(other, (F.col(key) == F.col(f"_{key}")) & could & condition)
+        return found.groupBy(F.col("cls").alias("a"), F.col("_cls").alias("b")).agg(
+            F.count(F.lit(1)).alias("c"),
+            F.first("n").alias("n"),
+            F.first("_n").alias("_n"),
+            F.first(F.col("whole") & F.col("_whole")).alias("whole"),
+        )
+
     after = lambda n: F.expr(f"({PERCENT} * {n} + 99) div 100 - 1")  # noqa: E731  tokens after the prefix
-    most = F.col("c") + F.greatest(after("n"), after("m"))
-    enough = F.lit(100 + PERCENT) * most >= F.lit(PERCENT) * (F.col("n") + F.col("m"))
-    second = verified(docs, classes, counted.where(~F.col("whole") | enough).select("a", "b"))
-    return first.unionByName(second)
+    enough = (100 + PERCENT) * (F.col("c") + F.greatest(after("n"), after("_n"))) >= PERCENT * both
+    by_signature = pairs(rest, "sig", ~at_tokens).where(~F.col("whole") | enough).select("a", "b")
+    second = verified(
+        docs, classes, by_signature.unionByName(pairs(far, "token", at_tokens).select("a", "b")), shipped
+    )
+    return first.unionByName(second).where("linked").select("a", "b")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
