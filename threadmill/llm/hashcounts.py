@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from threadmill.llm.common import partitions
@@ -21,9 +22,6 @@ class Bitmap:
     def __init__(self, data: np.ndarray):
         self.data = data
 
-    def __contains__(self, _):
-        raise TypeError("use has()")
-
     def has(self, hashes: np.ndarray) -> np.ndarray:
         place = hashes >> np.uint64(64 - BITS)
         bit = np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
@@ -33,14 +31,26 @@ class Bitmap:
         return bool(self.data.any())
 
 
+def _packed(ascending: np.ndarray) -> bytes:
+    """Differences, byte by byte: the high bytes are small and compress well."""
+    steps = np.diff(ascending, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def frequent(
     rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], thresholds: list[int]
 ) -> list[Bitmap]:
     """For each threshold, the hashes that `hashes` yields so often or more in all
     batches of `rows`.
 
-    Hashes travel to the task of their leading bits packed as five more bytes
-    each; a task sends a hash no more often than the largest threshold each time it
+    Hashes travel to the task of their leading bits with 32 more bits, as sorted and
+    compressed differences; hashes equal in these bits count as one, which can
+    only set a bit too many.  A task sends a hash no more often than the largest threshold each time it
     sends, so a hash all documents share stays small.  Each task returns its
     range of the bitmaps.
     """
@@ -55,11 +65,10 @@ def frequent(
             distinct, often = np.unique(np.concatenate(held), return_counts=True)
             sent = np.repeat(distinct, np.minimum(often, most))
             buckets = (sent >> np.uint64(64 - log_buckets)).astype(np.int64)
-            body = ((sent << np.uint64(log_buckets)) >> np.uint64(24)).astype("<u8")
-            raw = np.ascontiguousarray(body.view(np.uint8).reshape(-1, 8)[:, :5])
+            body = ((sent << np.uint64(log_buckets)) >> np.uint64(32)).astype(np.uint32)
             cuts = np.searchsorted(buckets, np.arange((1 << log_buckets) + 1))
             full = np.flatnonzero(np.diff(cuts))
-            pieces = [raw[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+            pieces = [_packed(body[cuts[b] : cuts[b + 1]]) for b in full]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(full), pa.array(pieces, pa.binary())], ["bucket", "packed"])
 
@@ -76,14 +85,12 @@ def frequent(
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        raw = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        distinct, often = np.unique(wide.view("<u8").ravel(), return_counts=True)
+        bodies = [_unpacked(p) for p in table.column("packed").to_pylist()]
+        distinct, often = np.unique(np.concatenate(bodies), return_counts=True)
         out = []
         for t in thresholds:
             bits = np.zeros(1 << (BITS - log_buckets), np.uint8)
-            bits[(distinct[often >= t] >> np.uint64(40 - (BITS - log_buckets))).astype(np.int64)] = 1
+            bits[distinct[often >= t] >> np.uint32(32 - (BITS - log_buckets))] = 1
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"bucket": [bucket], "maps": [out]})
 

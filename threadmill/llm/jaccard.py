@@ -222,11 +222,18 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shipped: Bro
     return grouped.groupBy("bucket").applyInArrow(compare, _COMPARED)
 
 
+def _enough() -> Column:
+    """Whether sets of sizes n and _n, whose prefixes of rare tokens share c, could
+    be similar: what the prefix that ends first has not, its rest would have to."""
+    rest = [F.expr(f"({PERCENT} * {n} + 99) div 100 - 1") for n in ("n", "_n")]
+    return (100 + PERCENT) * (F.col("c") + F.greatest(*rest)) >= PERCENT * (F.col("n") + F.col("_n"))
+
+
 def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different sets that connect all that are
     connected by similar pairs.
 
-    First each class is compared with one partner p.  A class is central if its
+    First each class is compared with one partner p, if they could be similar.  A class is central if its
     signatures are those of many others; the most central class of each
     signature is proposed, and the one proposed most often taken.  That joins
     groups of any size without all their pairs.
@@ -250,15 +257,17 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .select("sig", F.col("head.cls").alias("b"))
     )
     votes = shared.join(settled(heads), "sig").where("cls <> b").groupBy("cls", "b").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("votes", "b")).alias("best")).select("a", "best.b")
-    first = settled(verified(docs, classes, best, shipped))
+    best = votes.groupBy("cls").agg(F.max(F.struct("votes", "b")).alias("best")).select("cls", "best.b", F.col("best.votes").alias("c"))
+    sets = settled(shared.select("cls", "n", "whole").distinct())
+    partners = sets.select(*[F.col(c).alias(f"_{c}") for c in sets.columns])
+    proposed = best.join(sets, "cls").join(partners, F.col("b") == F.col("_cls"))
+    hopeful = ~(F.col("whole") & F.col("_whole")) | _enough()
+    first = settled(verified(docs, classes, proposed.where(hopeful).select(F.col("cls").alias("a"), "b"), shipped))
     labels = settled(components(first.where("linked")))
     of_partner = first.select(F.col("a").alias("cls"), F.col("b").alias("p"), F.col("shared").alias("inside"))
     own = F.coalesce("component", "cls").alias("component")
     facts = settled(
-        shared.select("cls", "n", "whole")
-        .distinct()
-        .join(of_partner, "cls", "left")
+        sets.join(of_partner, "cls", "left")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         .select("cls", "n", "whole", own, F.coalesce("p", "cls").alias("p"), F.coalesce("inside", "n").alias("inside"))
     )
@@ -289,9 +298,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             F.first(F.col("whole") & F.col("_whole")).alias("whole"),
         )
 
-    after = lambda n: F.expr(f"({PERCENT} * {n} + 99) div 100 - 1")  # noqa: E731  tokens after the prefix
-    enough = (100 + PERCENT) * (F.col("c") + F.greatest(after("n"), after("_n"))) >= PERCENT * both
-    by_signature = pairs(rest, "sig", ~at_tokens).where(~F.col("whole") | enough).select("a", "b")
+    by_signature = pairs(rest, "sig", ~at_tokens).where(~F.col("whole") | _enough()).select("a", "b")
     second = verified(
         docs, classes, by_signature.unionByName(pairs(far, "token", at_tokens).select("a", "b")), shipped
     )
