@@ -1,7 +1,8 @@
 """Message-corpus analytics as Spark DataFrame and Column functions.
 
-Nothing in the package creates a session, and nothing runs a job unless its
-name says so (writers, streaming starters).  All functions assume
+Nothing in the package creates a session.  Writers and streaming starters run
+jobs, and so do whole runs while they are put together (`plans`, and a store's
+`current` with `near`), which write intermediate tables.  All functions assume
 ``spark.sql.session.timeZone = UTC``; :func:`use_utc` sets it.
 """
 

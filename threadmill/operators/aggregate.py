@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.identifiers import topic_or_none
 from threadmill.functions.text import dedupe_hash, normalize_text
+from threadmill.operators.arrival import arrival, tie
 from threadmill.operators.filters import has_words, visible
 
-_ARRIVAL = ("source_order", "id")
-
 
 def kept_rows(sources: DataFrame, mode: str = "text", include_deleted: bool = False) -> DataFrame:
     """Rows that count as posts, `text` normalised, with `dedupe_hash`."""
@@ -38,7 +37,7 @@ def posts(sources: DataFrame, mode: str = "text", include_deleted: bool = False)
     return (
         rows.groupBy("dedupe_hash")
         .agg(
-            F.min_by(arrived, F.struct(*_ARRIVAL)).alias("first"), F.max("date").alias("latest")
+            F.min_by(arrived, arrival(rows)).alias("first"), F.max("date").alias("latest")
         )
         .select(
             "dedupe_hash",
@@ -55,25 +54,22 @@ def post_sources(sources: DataFrame, mode: str = "text", include_deleted: bool =
     """Where each post was found; the first row per place gives the date.
 
     A row without chat or message id is never the same place as another one:
-    its arrival is part of its key.
+    such rows are not aggregated.
     """
     rows = kept_rows(sources, mode, include_deleted).withColumn(
         "topic_id", topic_or_none(F.col("topic_id"))
     )
     nowhere = F.col("chat_identifier").isNull() | F.col("message_id").isNull()
     place = ["dedupe_hash", "source_name", "chat_identifier", "topic_id", "message_id"]
-    apart = [F.when(nowhere, F.col(c)).alias("_" + c) for c in _ARRIVAL]
-    return (
-        rows.groupBy(*place, *apart)
-        .agg(F.min_by("date", F.struct(*_ARRIVAL)).alias("date"))
-        .select(F.col("dedupe_hash").alias("post_id"), *place[1:], "date")
-    )
+    found = rows.where(~nowhere).groupBy(*place).agg(F.min_by("date", arrival(rows)).alias("date"))
+    apart = rows.where(nowhere).select(*place, "date")
+    return found.unionByName(apart).select(F.col("dedupe_hash").alias("post_id"), *place[1:], "date")
 
 
 def source_register(sources: DataFrame) -> DataFrame:
     """One row per source name; the first path given for it stays."""
     return sources.groupBy("source_name").agg(
-        F.min_by("source_path", F.struct(*_ARRIVAL)).alias("source_path")
+        F.min_by("source_path", F.struct("source_order", "source_path")).alias("source_path")
     )
 
 
@@ -95,11 +91,12 @@ def aggregate_counters(
 def merge_groups(sources: DataFrame) -> DataFrame:
     """Sources to be merged: those whose chat at least one more source has.
 
-    A source belongs to the chat of its first row.  One row per source, with
+    A source belongs to the chat of its first row by id, whatever that is; rows
+    without ids are ordered by what else they hold.  One row per source, with
     the number of sources of its chat.
     """
     by_source = sources.groupBy("source_name").agg(
-        F.min_by("chat_identifier", "id").alias("chat_identifier")
+        F.min_by("chat_identifier", F.struct("id", tie(sources.columns))).alias("chat_identifier")
     )
     sizes = (
         by_source.groupBy("chat_identifier")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.operators.arrival import tie
 from threadmill.functions.identifiers import topic_or_none
 from threadmill.functions.text import clean_text, dedupe_hash, normalize_text
 from threadmill.functions.times import second_of
@@ -33,7 +34,7 @@ def chronological() -> list[Column]:
 def dedupe_min_id(messages: DataFrame) -> DataFrame:
     """The row with the lowest id per key; a missing topic counts as -1."""
     normal = messages.withColumn("topic_id", topic_or_none(F.col("topic_id")))
-    return first_wins(normal, KEY, ["id"])
+    return first_wins(normal, KEY, [F.col("id"), tie(normal.columns)])
 
 
 def dedupe_csv(messages: DataFrame, mode: str = "text") -> DataFrame:

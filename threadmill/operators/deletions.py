@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.operators.filters import flag, since
+from threadmill.operators.filters import since, visible
 from threadmill.schema import KEY, SCOPE
 
 
@@ -38,7 +38,7 @@ def missing_messages(
     productive = seen.select(*SCOPE).distinct()
     scanned = scopes.where("scan_complete").join(productive, list(SCOPE), "left_semi")
     return (
-        messages.where(~flag(F.col("deleted")))
+        visible(messages, include_service=True)
         .join(scanned.select(*SCOPE, "cutoff", "run_ts"), list(SCOPE))
         .where("date >= cutoff")
         .drop("cutoff")

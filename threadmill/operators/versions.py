@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions.identifiers import topic_or_none
+from threadmill.operators.arrival import tie
 from threadmill.operators.filters import content, flag
 from threadmill.operators.hotkeys import HOT_ROWS, hot_keys, split_hot
 from threadmill.schema import KEY
@@ -32,8 +33,8 @@ def _state() -> Column:
 
 
 def _in_order(versions: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Number versions and look back, one window per key."""
-    by_key = Window.partitionBy(*keys).orderBy(*order)
+    """Number versions and look back, one window per key; equal ones by content."""
+    by_key = Window.partitionBy(*keys).orderBy(*order, tie(versions.columns))
     return versions.withColumns(
         {
             "version_no": F.row_number().over(by_key).cast("bigint"),
@@ -48,16 +49,19 @@ def _in_chunks(versions: DataFrame, chunk_ids: int, keys: Sequence[str]) -> Data
     before it and what the last of them was."""
     # A missing id sorts first, and so must its range.
     id_range = F.coalesce(F.floor(F.col("id") / chunk_ids), F.lit(-(2**63)))
-    chunked = versions.withColumn("_range", id_range)
-    chunk = [*keys, "source_order", "_range"]
-    in_chunk = Window.partitionBy(*chunk).orderBy("id")
-    over_chunks = Window.partitionBy(*keys).orderBy("source_order", "_range")
+    chunked = versions.withColumns({"_range": id_range, "_tie": tie(versions.columns)})
+    # Rows without an id are in the order of their hashes, and so are their pieces.
+    piece = F.when(F.col("id").isNull(), F.shiftright("_tie", 58)).otherwise(F.lit(0).cast("long"))
+    chunked = chunked.withColumn("_piece", piece)
+    chunk = [*keys, "source_order", "_range", "_piece"]
+    in_chunk = Window.partitionBy(*chunk).orderBy("id", "_tie")
+    over_chunks = Window.partitionBy(*keys).orderBy("source_order", "_range", "_piece")
     rows = chunked.withColumns(
         {"_no": F.row_number().over(in_chunk), "_before": F.lag(_state()).over(in_chunk)}
     )
     summary = (
         chunked.groupBy(*chunk)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(_state(), "id").alias("_tail"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(_state(), F.struct("id", "_tie")).alias("_tail"))
         .select(
             *chunk,
             F.sum("_rows").over(over_chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
@@ -69,7 +73,7 @@ def _in_chunks(versions: DataFrame, chunk_ids: int, keys: Sequence[str]) -> Data
         rows.join(summary, chunk)
         .withColumn("version_no", number)
         .withColumn("previous", F.when(F.col("_no") == 1, F.col("_carried")).otherwise(F.col("_before")))
-        .drop("_range", "_no", "_before", "_offset", "_carried")
+        .drop("_range", "_piece", "_tie", "_no", "_before", "_offset", "_carried")
     )
 
 
@@ -100,9 +104,10 @@ def _branches(
 def crowded_keys(
     versions: DataFrame, hot_rows: int = HOT_ROWS, keys: Sequence[str] = KEY
 ) -> DataFrame:
-    """Keys with very many versions; reads key and order columns only."""
+    """Keys with very many versions; reads narrow columns only."""
     normal = versions.withColumn("topic_id", topic_or_none(F.col("topic_id")))
-    return hot_keys(normal, keys, [c for c in ORDER if c in versions.columns], hot_rows)
+    telling = (*ORDER, "date", "edit_date", "updated_at", "sender_id")
+    return hot_keys(normal, keys, [c for c in telling if c in versions.columns], hot_rows)
 
 
 def version_history(

@@ -120,7 +120,7 @@ class MessageStore:
     def write_checkpoints(self, batch_id: int, scopes: DataFrame) -> None:
         """Write how far a batch got: `last_message_id`, `last_run_ts` per scope."""
         rows = scopes.select(*CHECKPOINTS.names)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self._checkpoints}/batch_id={batch_id}")
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self._checkpoints}/batch_id={batch_id}")
 
     def checkpoints(self, before_batch: int | None = None) -> DataFrame:
         """Highest message id and latest run per scope, over all batches."""
