@@ -132,7 +132,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                 at, stop = first - chunk.bounds[text], last - chunk.bounds[text]
                 minimisers = windows.mers[places[begin]]
                 target = (minimisers % np.uint64(buckets)).astype(np.int64)
-                yield rows(target[here], [keys[i] for i in text[here]], at[here], stop[here], [None] * len(here))
+                # what is known to be repeated only passes through, in any bucket
+                anywhere = np.arange(len(here)) % buckets
+                yield rows(anywhere, [keys[i] for i in text[here]], at[here], stop[here], [None] * len(here))
                 packed = _joined(chunk, first[one], last[one])
                 yield rows(target[one], [keys[i] for i in text[one]], at[one], stop[one], packed)
 
