@@ -18,14 +18,15 @@ from threadmill.llm.words import Chunk, Spans, chunks, mix, ranges
 
 SHINGLE = 5
 PERCENT = 75
-# Fingerprints have 8 blocks of 16 bits.  Within RADIUS = 8 * 3 + 7 bits of each
-# other, two of them differ in at most 3 bits of some block.
-BLOCKS, BLOCK_BITS, FLIPS = 8, 16, 3
+# Fingerprints have 8 blocks of 16 bits.  Within RADIUS = 8 * 4 + 7 bits of each
+# other, two of them differ in at most 4 bits of some block: items are listed at
+# the values up to 3 bits from theirs, windows are looked up at those 1 bit away.
+BLOCKS, BLOCK_BITS, FLIPS, LOOKUP_FLIPS = 8, 16, 3, 1
 FINGERPRINT_BITS = BLOCKS * BLOCK_BITS
-RADIUS = BLOCKS * (FLIPS + 1) - 1
+RADIUS = BLOCKS * (FLIPS + LOOKUP_FLIPS + 1) - 1
 # Items are looked for so many at a time; the documents are read once for each lot.
 ITEMS_AT_ONCE = 2000
-_WINDOWS_AT_ONCE = 1 << 14
+_WINDOWS_AT_ONCE = 1 << 12
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -40,6 +41,12 @@ def _fingerprints(votes: np.ndarray) -> np.ndarray:
     return np.packbits(votes > 0, axis=1).view(">u2").astype(np.uint16)
 
 
+def _masks(flips: int) -> np.ndarray:
+    """All changes of a block by at most so many bits."""
+    bits = [c for k in range(flips + 1) for c in combinations(range(BLOCK_BITS), k)]
+    return np.array([sum(1 << b for b in c) for c in bits], np.uint16)
+
+
 @dataclass
 class ItemIndex:
     """Benchmark items with their fingerprints in a multi-index.
@@ -115,9 +122,7 @@ class ItemIndex:
     def _multi_index(self) -> tuple[np.ndarray, np.ndarray]:
         """For each block and value, the items whose block is at most FLIPS bits from it."""
         if self._tables is None:
-            masks = [sum(1 << b for b in bits) for k in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), k)]
-            masks = np.array(masks, np.uint16)
-            near = (self.fingerprints[:, :, None] ^ masks).astype(np.int64)
+            near = (self.fingerprints[:, :, None] ^ _masks(FLIPS)).astype(np.int64)
             keys = near + (np.arange(BLOCKS) << BLOCK_BITS)[None, :, None]
             owners = np.broadcast_to(np.arange(len(self.item_ids), dtype=np.int32)[:, None, None], keys.shape).ravel()
             order = np.argsort(keys.ravel(), kind="stable")
@@ -129,9 +134,11 @@ class ItemIndex:
         """All (row of `fingerprints`, item) within RADIUS bits: the multi-index
         lists every one of them, and the full distance is checked."""
         starts, owners = self._multi_index()
-        keys = (fingerprints.astype(np.int64) + (np.arange(BLOCKS) << BLOCK_BITS)).ravel()
+        values = (fingerprints[:, :, None] ^ _masks(LOOKUP_FLIPS)).astype(np.int64)
+        keys = (values + (np.arange(BLOCKS) << BLOCK_BITS)[None, :, None]).ravel()
         at, which = ranges(starts[keys], starts[keys + 1] - starts[keys])
-        pairs = np.unique((which // BLOCKS) * len(self.item_ids) + owners[at])
+        lookups = values.shape[1] * values.shape[2]
+        pairs = np.unique((which // lookups) * len(self.item_ids) + owners[at])
         row, item = pairs // len(self.item_ids), pairs % len(self.item_ids)
         distance = np.bitwise_count(fingerprints[row] ^ self.fingerprints[item]).sum(axis=1)
         return row[distance <= RADIUS], item[distance <= RADIUS]
@@ -140,10 +147,11 @@ class ItemIndex:
 def _matches(chunk: Chunk, index: ItemIndex) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, first word, words, item, shared, union) of similar windows.
 
-    Windows have the size of some item.  One that holds no shingle of any item has
-    similarity 0 to all and is passed over; the others are fingerprinted, and
-    those near an item's fingerprint are compared shingle by shingle, counting
-    repeats: shared is the sum of the smaller counts, union that of the larger.
+    Windows have the size of some item, so both have n shingles, and are similar
+    only if they share 6 n / 7 of them.  A window with fewer shingles of all items
+    together is passed over; the others are fingerprinted, and those near an
+    item's fingerprint are compared shingle by shingle, counting repeats: shared
+    is the sum of the smaller counts, union that of the larger.
     """
     spans, last_width = Spans(chunk.word_hashes()), 0
     for size in index.window_sizes.tolist():
@@ -160,7 +168,7 @@ def _matches(chunk: Chunk, index: ItemIndex) -> Iterator[tuple[np.ndarray, ...]]
             hit_texts = np.unique(text[hits])
         n_windows = np.maximum(chunk.n_words[hit_texts] - size + 1, 0)
         begin, of = ranges(shingle_at[hit_texts], n_windows)
-        holds = seen[begin + per_window] > seen[begin]
+        holds = (100 + PERCENT) * (seen[begin + per_window] - seen[begin]) >= 2 * PERCENT * per_window
         begin, of = begin[holds], hit_texts[of[holds]]
         for at in range(0, len(begin), _WINDOWS_AT_ONCE):
             some, owner = begin[at : at + _WINDOWS_AT_ONCE], of[at : at + _WINDOWS_AT_ONCE]
