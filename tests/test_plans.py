@@ -13,7 +13,7 @@ from threadmill.sinks.exports import jsonl_rows
 from threadmill.testing import fixtures as fx
 
 # These run jobs, or streams, of their own while being built.
-WRITERS = {"csv_written", "jsonl_written", "snapshot_write", "stream_upsert", "stream_rate", "merge_chats", "sync_snapshot", "sync_summary"}
+WRITERS = {"csv_written", "csv_appended", "jsonl_written", "snapshot_write", "stream_upsert", "stream_rate", "merge_chats", "sync_snapshot", "sync_summary"}
 
 
 def plan(df) -> str:

@@ -44,9 +44,13 @@ def test_csv(spark, tmp_path):
     path = str(tmp_path / "csv")
     exports.write_csv(messages(spark), path)
     rows = []
-    for data in parts(path, ".csv"):
+    for data in parts(path, ".txt"):
         assert data.startswith(b"\xef\xbb\xbfchat_id,chat_identifier,")
+        assert data.endswith(b"\r\n")
         lines = list(csv.reader(io.StringIO(data.decode("utf-8-sig"), newline="")))
+        again = io.StringIO(newline="")
+        csv.writer(again).writerows(lines)
+        assert again.getvalue() == data.decode("utf-8-sig")
         assert lines[0] == EXPORT_COLUMNS
         rows += lines[1:]
     # Unknown date first, then by date.
@@ -59,15 +63,21 @@ def test_csv(spark, tmp_path):
     assert first[0] == "" and first[4] == "2024-01-11T00:00:00+00:00" and first[11] == "0"
 
 
+def test_csv_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    exports.write_csv(messages(spark).where("false"), path)
+    assert parts(path, ".txt") == [b"\xef\xbb\xbf" + ",".join(EXPORT_COLUMNS).encode() + b"\r\n"]
+
+
 def test_csv_append(spark, tmp_path):
     path = str(tmp_path / "csv")
     exports.write_csv(messages(spark).where("id < 3"), path)
     exports.append_csv(messages(spark).where("id >= 3"), path)
     rows = []
-    for data in parts(path, ".csv"):
+    for data in parts(path, ".txt"):
         rows += list(csv.DictReader(io.StringIO(data.decode("utf-8-sig"), newline="")))
     assert len(rows) == messages(spark).count()
-    assert sum(d.startswith(b"\xef\xbb\xbf") for d in parts(path, ".csv")) < len(parts(path, ".csv"))
+    assert sum(d.startswith(b"\xef\xbb\xbf") for d in parts(path, ".txt")) < len(parts(path, ".txt"))
 
 
 def test_jsonl(spark, tmp_path):

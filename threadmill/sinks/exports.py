@@ -6,7 +6,7 @@ export.  A consumer that needs a single file concatenates them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions.times import iso_text
@@ -23,6 +23,7 @@ from threadmill.schema import EXPORT_COLUMNS, JSONL_FIELDS
 _DATES = ("date", "edit_date", "updated_at")
 # Marks a file as UTF-8 for spreadsheet programs.
 _BYTE_ORDER_MARK = "\ufeff"
+_RECORD_END = "\r\n"
 
 
 def csv_rows(messages: DataFrame, dedupe: str | None = None) -> DataFrame:
@@ -34,34 +35,38 @@ def csv_rows(messages: DataFrame, dedupe: str | None = None) -> DataFrame:
     )
 
 
+def _field(value: Column) -> Column:
+    """A value as it stands in a record: quoted if it holds a comma, a quote or a line end."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"\\r\\n]'), quoted).otherwise(text)
+
+
 def _as_csv(rows: DataFrame, path: str, mode: str, mark: bool) -> None:
-    first, *others = rows.columns
-    named = rows.withColumnRenamed(first, _BYTE_ORDER_MARK + first) if mark else rows
-    (
-        named.write.mode(mode)
-        .option("header", True)
-        .option("escape", '"')
-        # With "\r\n" the writer would turn every line feed inside a text into it.
-        .option("lineSep", "\n")
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        # Texts keep the spaces at their ends.
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    header = (_BYTE_ORDER_MARK if mark else "") + ",".join(rows.columns)
+    line = F.concat_ws(",", *(_field(F.col(c)) for c in rows.columns))
+    # Numbers of rows start anew, from a multiple of 2**33, in each file.
+    opens = F.monotonically_increasing_id() % (1 << 33) == 0
+    lines = rows.select(F.when(opens, F.concat(F.lit(header + _RECORD_END), line)).otherwise(line).alias("value"))
+    if rows.isEmpty():
+        lines = rows.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
+    lines.write.mode(mode).option("lineSep", _RECORD_END).text(path)
 
 
 def write_csv(messages: DataFrame, path: str, dedupe: str | None = None) -> None:
-    """Spreadsheet-friendly CSV: byte order mark and header in every file.
+    """Spreadsheet-friendly CSV: byte order mark and header in every file, also
+    if there are no messages.
 
-    Records end with a line feed; texts keep the line ends they have.
+    Records end with a carriage return and a line feed; texts keep the line ends
+    they have.  Spark's own CSV writer would turn every line feed inside a text
+    into the end of a record, so records are written as text; the part files are
+    named `.txt`.
     """
     _as_csv(csv_rows(messages, dedupe), path, "overwrite", mark=True)
 
 
 def append_csv(rows: DataFrame, path: str) -> None:
-    """Add rows as further files, without byte order marks."""
+    """Add rows as further files, with headers but without byte order marks."""
     _as_csv(csv_rows(rows), path, "append", mark=False)
 
 

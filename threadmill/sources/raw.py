@@ -65,14 +65,19 @@ def in_thread(raw: DataFrame, topic_id: int | None) -> DataFrame:
     return raw.where(F.col("reply_to_msg_id") == topic_id)
 
 
-def incremental_scan(messages: DataFrame, checkpoints: DataFrame, cutoff: object | None = None) -> DataFrame:
+def incremental_scan(
+    messages: DataFrame, checkpoints: DataFrame | None = None, cutoff: object | None = None
+) -> DataFrame:
     """Rows above the checkpoint of their chat and topic, dated since `cutoff`.
 
-    Without a cutoff (backfill) only the checkpoint counts.  Late rows are cut
-    by this plain filter; an event-time watermark would drop other rows.
+    Without a cutoff (backfill) only the checkpoint counts; without checkpoints
+    too, it is a scan of the full history.  Late rows are cut by this plain
+    filter; an event-time watermark would drop other rows.
     """
     if cutoff is not None:
         messages = since(messages, cutoff)
+    if checkpoints is None:
+        return messages
     last = checkpoints.select(*SCOPE, F.col("last_message_id").alias("_last"))
     rows = messages.withColumn("topic_id", topic_or_none(F.col("topic_id")))
     return (
@@ -82,11 +87,6 @@ def incremental_scan(messages: DataFrame, checkpoints: DataFrame, cutoff: object
     )
 
 
-def full_history_scan(messages: DataFrame) -> DataFrame:
-    """Backfill: neither checkpoint nor cutoff."""
-    return messages
-
-
 def edit_rescan(messages: DataFrame, edit_cutoff: object) -> DataFrame:
     """Rows young enough to be checked for edits again."""
     return since(messages, edit_cutoff)

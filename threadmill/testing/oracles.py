@@ -268,9 +268,9 @@ SELECT {jsonl_fields(clean("text"))} FROM corpus WHERE {VISIBLE} AND {HAS_TEXT}"
 
 ORACLES["jsonl_written"] = ORACLES["jsonl_export"]
 
-ORACLES["csv_written"] = f"""WITH corpus AS ({CORPUS})
-SELECT chat_identifier, CAST(message_id AS VARCHAR) AS message_id,
- sha256(nullif(text, '')) AS digest FROM corpus"""
+ORACLES["csv_written"] = f"""WITH corpus AS ({CORPUS}), fields AS (SELECT {CSV_FIELDS} FROM corpus)
+SELECT nullif(CAST(COLUMNS(*) AS VARCHAR), '') FROM fields"""
+ORACLES["csv_appended"] = ORACLES["csv_written"]
 
 ORACLES["jsonl_export_filtered"] = f"""WITH corpus AS ({CORPUS}),
 cleaned AS (SELECT *, {clean("text")} AS cleaned FROM corpus WHERE {HAS_TEXT}),

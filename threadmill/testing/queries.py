@@ -173,13 +173,9 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def full_history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nothing = fx.table(spark, sf_dir, "events").limit(0).select(
-        F.col("event_type").alias("chat_identifier"),
-        F.col("event_id").alias("topic_id"),
-        F.col("event_id").alias("last_message_id"),
-    )
-    m = raw.full_history_scan(fx.chronological_msgs(spark, sf_dir))
-    return upsert.upsert_snapshot(m.join(nothing, list(schema.SCOPE), "left_semi"), m)
+    """A scan without checkpoints and cutoff, into an empty table."""
+    found = raw.incremental_scan(fx.chronological_msgs(spark, sf_dir))
+    return upsert.upsert_snapshot(found.where("false"), found)
 
 
 @query
@@ -220,14 +216,27 @@ def jsonl_export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _csv_back(spark: SparkSession, path: str) -> DataFrame:
+    back = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', lineSep="\r\n")
+    names = (c.lstrip("\ufeff") for c in back.columns)
+    return back.toDF(*names).select(*schema.EXPORT_COLUMNS)
+
+
 @query
 def csv_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV files read back: the texts are those that were written."""
+    """The CSV files read back, all columns as they stand there."""
     path = scratch_path(spark)
     exports.write_csv(fx.corpus(spark, sf_dir), path)
-    back = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', lineSep="\n")
-    renamed = back.toDF(*(c.lstrip("\ufeff") for c in back.columns))
-    return renamed.select("chat_identifier", "message_id", F.sha2("text", 256).alias("digest"))
+    return _csv_back(spark, path)
+
+
+@query
+def csv_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first source written and the others appended, read back together."""
+    path, corpus = scratch_path(spark), fx.corpus(spark, sf_dir)
+    exports.write_csv(corpus.where("source_order = 0"), path)
+    exports.append_csv(corpus.where("source_order > 0"), path)
+    return _csv_back(spark, path)
 
 
 @query
