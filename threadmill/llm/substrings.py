@@ -19,6 +19,8 @@ WINDOW = 35
 MINIMISER = 8
 # A minimiser that starts so many super-k-mers gives way to rarer ones.
 HOT = 1000
+# Equal super-k-mers within so many bytes of text travel once.
+SENT_BYTES = 1 << 20
 
 _SENT = "bucket long, text_key binary, at int, stop int, packed string"
 _SPANS = "text_key binary, span long"
@@ -107,7 +109,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
         for batch in batches:
             all_keys = batch.column(0).to_pylist()
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), size=SENT_BYTES):
                 keys = all_keys[chunk.first : chunk.first + len(chunk)]
                 _, once, copies = np.unique(np.array(keys, object).astype("S16"), return_index=True, return_counts=True)
                 windows = _Windows(chunk, window, minimiser)

@@ -25,7 +25,7 @@ _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(string.punctuation.encode())] = True
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
