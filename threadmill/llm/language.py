@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import partitions, settled, small_side
+from threadmill.llm.common import settled, small_side
 from threadmill.llm.words import Chunk, Spans, chunks, ranges
 
 # The model learns from at most so many documents of each language, those with
@@ -150,13 +150,17 @@ def fit_language(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE
     The bounded number of documents per language makes the model's size and the
     counts that reach the driver independent of the corpus."""
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(partitions(labelled.sparkSession)))
-    chosen = usable.select("doc_id", "lang", part.alias("_part")).where("doc_id IS NOT NULL")
-    # First in parts of a language, so that no task sees all of a frequent one.
-    for by in (["lang", "_part"], ["lang"]):
-        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen = chosen.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= docs_per_language)
-    chosen = chosen.select("doc_id", F.col("lang").alias("_lang")).distinct()
+    # The documents with the smallest hashes of doc_id.  Twice as many as needed lie
+    # below a share of all hashes that follows from the number of a language's
+    # documents, so no task ranks more than these, however frequent it is.
+    place = F.xxhash64("doc_id")
+    ids = usable.where("doc_id IS NOT NULL").select("doc_id", "lang")
+    sizes = settled(ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_ids")))
+    share = F.least(F.lit(1.0), F.lit(2.0 * docs_per_language) / F.col("_ids"))
+    near = ids.join(small_side(sizes), "lang").where(place.cast("double") <= share * 2.0**64 - 2.0**63)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ranked = near.select("doc_id", "lang").distinct().withColumn("_place", F.row_number().over(order))
+    chosen = ranked.where(F.col("_place") <= docs_per_language).select("doc_id", F.col("lang").alias("_lang"))
     sample = usable.join(small_side(settled(chosen)), "doc_id").where(F.col("lang") == F.col("_lang"))
     counts = sample.select("lang", F.lower("text")).mapInArrow(_counts, "lang string, kind int, hash long, n long")
     summed = settled(counts.groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n")))
