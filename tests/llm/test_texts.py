@@ -251,3 +251,22 @@ def test_all_fingerprints_within_the_radius_are_found():
         expected |= {(row, int(i)) for i in np.flatnonzero((bits != b).sum(axis=1) <= RADIUS)}
     got = index.near(np.array(asked).astype(np.uint16))
     assert set(zip(*(x.tolist() for x in got))) == expected
+
+
+def test_decontamination_with_a_repeated_filler(spark, lowered):
+    """Windows at the threshold, whose last words are all the same; others hold the item's own repeats."""
+    items, docs = [], []
+    for i in range(6):
+        w = [f"w{i}x{j}" for j in range(144)]
+        if i > 3:
+            w[40:70] = ["again"] * 30
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join(["before"] * 9 + w[:124] + ["____"] * 40)))
+        docs.append((10 + i, " ".join(["____"] * 30 + w[20:] + ["after"] * 9)))
+    got = contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    expected = _contaminated(docs, items, lowered)
+    assert len(expected) == 12
+    found = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got.collect()}
+    assert set(found) == set(expected) and all(found[k] == pytest.approx(expected[k]) for k in found)

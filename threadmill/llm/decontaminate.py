@@ -36,6 +36,48 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1
 
 
+def _features(hashes: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Shingles told apart by how often they came before: on these features the
+    similarity, which counts repeats, is a plain Jaccard similarity of sets."""
+    return mix(hashes ^ mix(earlier.astype(np.uint64)))
+
+
+def _window_votes(hashes: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """Sums of the votes of the features of each window, whose starts ascend.
+
+    A window that begins close to the one before takes over its sums, without
+    the features of the shingles that leave and with those of the ones that enter.
+    """
+    order = np.argsort(hashes, kind="stable")
+    group = np.cumsum(np.concatenate([[0], np.diff(hashes[order]) != 0]))
+    stride = len(hashes) + 1
+    keys = group * stride + order
+    rank = np.empty(len(hashes), np.int64)
+    rank[order] = np.arange(len(hashes))
+
+    def before(shingle: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """In the order of the keys, the first of a shingle's equals not before a place."""
+        return np.searchsorted(keys, group[rank[shingle]] * stride + place)
+
+    step = np.diff(begin, prepend=-length)
+    anew = step > length // 2
+    anew[0] = True
+    out_of, leaving = np.where(anew, 0, begin - step), np.where(anew, 0, step)
+    left, window = ranges(out_of, leaving)
+    left_before = before(left, out_of[window] + length) - rank[left] - 1
+    came, to = ranges(np.where(anew, begin, out_of + length), np.where(anew, length, step))
+    came_before = rank[came] - before(came, begin[to])
+    events, which = np.concatenate([left, came]), np.concatenate([window, to])
+    signs = _signs(_features(hashes[events], np.concatenate([left_before, came_before])))
+    np.negative(signs[: len(left)], out=signs[: len(left)])
+    by_window = np.argsort(which, kind="stable")
+    starts = np.searchsorted(which[by_window], np.arange(len(begin)))
+    sums = np.cumsum(np.add.reduceat(signs[by_window], starts, axis=0, dtype=np.int32), axis=0, dtype=np.int32)
+    # what had been summed up before the last window that was counted anew
+    base = np.maximum.accumulate(np.where(anew, np.arange(len(begin)), 0))
+    return sums - np.where((base > 0)[:, None], sums[base - 1], 0)
+
+
 def _fingerprints(votes: np.ndarray) -> np.ndarray:
     """Sums of votes as rows of BLOCKS 16-bit numbers; a tie is a zero."""
     return np.packbits(votes > 0, axis=1).view(">u2").astype(np.uint16)
@@ -71,14 +113,14 @@ class ItemIndex:
             first, text = ranges(chunk.bounds[:-1], count)
             last = np.minimum(first + SHINGLE, chunk.bounds[text + 1])
             hashes = Spans(chunk.word_hashes()).hash(first, last)
-            votes = np.zeros((len(chunk), FINGERPRINT_BITS), np.int64)
-            np.add.at(votes, text, _signs(hashes))
             for i in np.flatnonzero(n > 0).tolist():
                 distinct, often = np.unique(hashes[text == i], return_counts=True)
                 items.append(np.full(len(distinct), len(ids)))
                 ids.append(item_ids[chunk.first + i])
                 sizes.append(n[i])
-                prints.append(_fingerprints(votes[i : i + 1])[0])
+                earlier, of = ranges(np.zeros(len(often), np.int64), often)
+                votes = _signs(_features(distinct[of], earlier)).sum(axis=0, keepdims=True, dtype=np.int64)
+                prints.append(_fingerprints(votes)[0])
                 shingles.append(distinct)
                 weights.append(often)
         empty = np.zeros(0, np.int64)
@@ -172,12 +214,7 @@ def _matches(chunk: Chunk, index: ItemIndex) -> Iterator[tuple[np.ndarray, ...]]
         begin, of = begin[holds], hit_texts[of[holds]]
         for at in range(0, len(begin), _WINDOWS_AT_ONCE):
             some, owner = begin[at : at + _WINDOWS_AT_ONCE], of[at : at + _WINDOWS_AT_ONCE]
-            needed, place = np.unique(ranges(some, np.full(len(some), per_window))[0], return_inverse=True)
-            # sums over runs of needed shingles; each window is one run
-            votes = np.zeros((len(needed) + 1, FINGERPRINT_BITS), np.int32)
-            np.cumsum(_signs(hashes[needed]), axis=0, out=votes[1:])
-            start = place[:: per_window]
-            row, item = index.near(_fingerprints(votes[start + per_window] - votes[start]))
+            row, item = index.near(_fingerprints(_window_votes(hashes, some, per_window)))
             fits = index.n_words[item] == size
             row, item = row[fits], item[fits]
             if not len(row):
