@@ -270,3 +270,39 @@ def test_decontamination_with_a_repeated_filler(spark, lowered):
     assert len(expected) == 12
     found = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got.collect()}
     assert set(found) == set(expected) and all(found[k] == pytest.approx(expected[k]) for k in found)
+
+
+def test_decontamination_of_texts_shorter_than_an_item(spark, lowered):
+    def shingles(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    rng = np.random.default_rng(11)
+    items, docs = [], []
+    for i in range(40):
+        size = int(rng.integers(5, 70))
+        w = [f"w{rng.integers(0, 30)}x{i}" for _ in range(size)]
+        items.append((i, " ".join(w)))
+        for cut in range(0, min(size, 20), 3):
+            begin = int(rng.integers(0, cut + 1))
+            own = w[begin : begin + size - cut]
+            if cut % 2:
+                own[int(rng.integers(0, len(own)))] = "changed"
+            docs.append((len(docs), " ".join(own)))
+    items.append((40, docs[0][1] + " and more"))
+    expected = _contaminated(docs, items, lowered)
+    n_whole = len(expected)
+    for d, text in docs:
+        for i, item in items:
+            x, y = shingles(lowered(text)), shingles(lowered(item))
+            shared, union = sum((x & y).values()), sum((x | y).values())
+            if len(lowered(text)) < len(lowered(item)) and shared and 100 * shared >= 75 * union:
+                expected[d, i] = (shared / union, 0)
+    got = contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    rows = got.collect()
+    assert len(expected) >= n_whole + 40
+    found = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in rows}
+    assert set(found) == set(expected) and all(found[k] == pytest.approx(expected[k]) for k in found)
+    n_words = {d: len(lowered(t)) for d, t in docs}
+    assert all(r.n_words == min(n_words[r.doc_id], len(lowered(items[r.item_id][1]))) for r in rows)

@@ -42,33 +42,46 @@ def _features(hashes: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(earlier.astype(np.uint64)))
 
 
-def _window_votes(hashes: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
-    """Sums of the votes of the features of each window, whose starts ascend.
+class _Shingles:
+    """Hashes of consecutive shingles, and how often each is in a stretch of them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    @cached_property
+    def _ranks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(self.hashes, kind="stable")
+        changes = np.diff(self.hashes[order]) != 0
+        group = np.cumsum(np.concatenate([[0], changes])) * (len(order) + 1)
+        rank, base = np.empty_like(order), np.empty_like(order)
+        rank[order], base[order] = np.arange(len(order)), group
+        return group + order, rank, base
+
+    def between(self, shingle: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How many equals of a shingle lie from it to before a later place, without
+        itself; or, as a negative number, from an earlier place to before it."""
+        keys, rank, base = self._ranks
+        n = np.searchsorted(keys, base[shingle] + place) - rank[shingle]
+        return np.where(place > shingle, n - 1, n)
+
+
+def _window_votes(shingles: _Shingles, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sums of the votes of the features of each window, whose starts ascend;
+    windows that overlap have the same length.
 
     A window that begins close to the one before takes over its sums, without
     the features of the shingles that leave and with those of the ones that enter.
     """
-    order = np.argsort(hashes, kind="stable")
-    group = np.cumsum(np.concatenate([[0], np.diff(hashes[order]) != 0]))
-    stride = len(hashes) + 1
-    keys = group * stride + order
-    rank = np.empty(len(hashes), np.int64)
-    rank[order] = np.arange(len(hashes))
-
-    def before(shingle: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """In the order of the keys, the first of a shingle's equals not before a place."""
-        return np.searchsorted(keys, group[rank[shingle]] * stride + place)
-
-    step = np.diff(begin, prepend=-length)
-    anew = step > length // 2
-    anew[0] = True
+    step = np.diff(begin, prepend=begin[0])
+    anew = np.ones(len(begin), bool)
+    anew[1:] = step[1:] > length[:-1] // 2
     out_of, leaving = np.where(anew, 0, begin - step), np.where(anew, 0, step)
     left, window = ranges(out_of, leaving)
-    left_before = before(left, out_of[window] + length) - rank[left] - 1
+    left_before = shingles.between(left, (out_of + length)[window])
     came, to = ranges(np.where(anew, begin, out_of + length), np.where(anew, length, step))
-    came_before = rank[came] - before(came, begin[to])
+    came_before = -shingles.between(came, begin[to])
     events, which = np.concatenate([left, came]), np.concatenate([window, to])
-    signs = _signs(_features(hashes[events], np.concatenate([left_before, came_before])))
+    signs = _signs(_features(shingles.hashes[events], np.concatenate([left_before, came_before])))
     np.negative(signs[: len(left)], out=signs[: len(left)])
     by_window = np.argsort(which, kind="stable")
     starts = np.searchsorted(which[by_window], np.arange(len(begin)))
@@ -190,20 +203,42 @@ def _matches(chunk: Chunk, index: ItemIndex) -> Iterator[tuple[np.ndarray, ...]]
     """(text, first word, words, item, shared, union) of similar windows.
 
     Windows have the size of some item, so both have n shingles, and are similar
-    only if they share 6 n / 7 of them.  A window with fewer shingles of all items
-    together is passed over; the others are fingerprinted, and those near an
-    item's fingerprint are compared shingle by shingle, counting repeats: shared
-    is the sum of the smaller counts, union that of the larger.
+    only if they share 6 n / 7 of them; a text with fewer words than an item is one
+    window itself.  A window with fewer shingles of all items together is passed
+    over; the others are fingerprinted, and those near an item's fingerprint are
+    compared shingle by shingle, counting repeats: shared is the sum of the smaller
+    counts, union that of the larger.
     """
+    for whole, shingles, begin, of, first_word, per_window, words in _candidates(chunk, index):
+        for at in range(0, len(begin), _WINDOWS_AT_ONCE):
+            part = slice(at, at + _WINDOWS_AT_ONCE)
+            some, owner, first, length, size = begin[part], of[part], first_word[part], per_window[part], words[part]
+            row, item = index.near(_fingerprints(_window_votes(shingles, some, length)))
+            wanted = index.n_words[item]
+            fits = wanted > size[row] if whole else wanted == size[row]
+            row, item = row[fits], item[fits]
+            if not len(row):
+                continue
+            shared, union = _overlaps(shingles.hashes, some[row], length[row], item, index)
+            good = 100 * shared >= PERCENT * union
+            row, item = row[good], item[good]
+            yield owner[row], first[row], size[row], item, shared[good], union[good]
+
+
+def _candidates(chunk: Chunk, index: ItemIndex) -> Iterator[tuple[np.ndarray, ...]]:
+    """(whether the windows are whole texts, for the items longer than them; all
+    shingles; and per window: its first shingle, text, first word, number of
+    shingles, number of words) of windows with enough shingles of all items."""
     spans, last_width = Spans(chunk.word_hashes()), 0
-    for size in index.window_sizes.tolist():
+    sizes = index.window_sizes
+    for size in sizes.tolist():
         width = min(SHINGLE, size)
         per_window = size - width + 1
         if width != last_width:
             last_width = width
             first, text = chunk.window_starts(width)
             hashes = spans.hash(first, first + width)
-            hits = index.holds(hashes)
+            hits, shingles = index.holds(hashes), _Shingles(hashes)
             seen = np.concatenate([[0], np.cumsum(hits)])
             # shingle numbers of a text are consecutive, so its windows are runs of them
             shingle_at = np.searchsorted(text, np.arange(len(chunk)))
@@ -212,22 +247,22 @@ def _matches(chunk: Chunk, index: ItemIndex) -> Iterator[tuple[np.ndarray, ...]]
         begin, of = ranges(shingle_at[hit_texts], n_windows)
         holds = (100 + PERCENT) * (seen[begin + per_window] - seen[begin]) >= 2 * PERCENT * per_window
         begin, of = begin[holds], hit_texts[of[holds]]
-        for at in range(0, len(begin), _WINDOWS_AT_ONCE):
-            some, owner = begin[at : at + _WINDOWS_AT_ONCE], of[at : at + _WINDOWS_AT_ONCE]
-            row, item = index.near(_fingerprints(_window_votes(hashes, some, per_window)))
-            fits = index.n_words[item] == size
-            row, item = row[fits], item[fits]
-            if not len(row):
-                continue
-            shared, union = _overlaps(hashes, some[row], per_window, item, index)
-            good = 100 * shared >= PERCENT * union
-            row, item = row[good], item[good]
-            yield owner[row], first[some[row]] - chunk.bounds[owner[row]], np.full(len(row), size), item, shared[good], union[good]
+        at = first[begin] - chunk.bounds[of]
+        yield False, shingles, begin, of, at, np.full(len(begin), per_window), np.full(len(begin), size)
+    if last_width == SHINGLE:  # shorter items share no shingle with a text that is shorter still
+        n = chunk.n_words[hit_texts]
+        longer = np.searchsorted(sizes, n, "right")
+        of, n, longer = (x[longer < len(sizes)] for x in (hit_texts, n, longer))
+        begin, per_window = shingle_at[of], n - SHINGLE + 1
+        least = per_window + sizes[longer] - SHINGLE + 1
+        holds = (100 + PERCENT) * (seen[begin + per_window] - seen[begin]) >= PERCENT * least
+        begin, of, per_window, n = begin[holds], of[holds], per_window[holds], n[holds]
+        yield True, shingles, begin, of, np.zeros(len(of), np.int64), per_window, n
 
 
 def _overlaps(hashes, begin, per_window, item, index: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the smaller and the larger counts of each window and item."""
-    shingle, pair = ranges(begin, np.full(len(begin), per_window))
+    shingle, pair = ranges(begin, per_window)
     keys = np.stack([pair.astype(np.uint64), hashes[shingle]])
     (pair, value), often = np.unique(keys, axis=1, return_counts=True)
     pair = pair.astype(np.int64)
@@ -243,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
     """Which `docs` (doc_id, text) hold which items of `benchmark` (item_id, text).
 
     Returns a row per document and item with a window of the item's size in words
-    that is similar to it: doc_id, text_key (hash of the text), item_id,
+    (the whole text, if it has fewer) that is similar to it: doc_id, text_key (hash of the text), item_id,
     similarity (of weighted shingles, 0.75 to 1), first_word and n_words of the
     best window; ties go to the first.  A-Z counts as lower case.  An item of
     fewer than five words is one shingle; items and texts without words, null or
