@@ -199,3 +199,15 @@ def test_best_paths_of_trees(spark):
         for place, (*_, path) in enumerate(sorted(ranked)[:2], 1):
             expected[tree, place] = dict(enumerate(path))
     assert got == expected
+
+
+def test_token_ids_of_letters_that_compose_in_lower_case_only(spark):
+    from tokenizers import Tokenizer
+
+    letters = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = [f"{c}ello, HELLO {c}. x{c}{c}!? <{c}> A\u0300B=\u0338 \u212a {c}" for c in letters] + letters
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    ids = [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_ids(docs).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}

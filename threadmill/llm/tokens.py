@@ -37,10 +37,11 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of texts from the ids of their pieces, each encoded once.
 
-    The tokenizer splits at white space before anything else, drops it, and
-    lower-cases; so a text's ids are those of its words, and a word's are those
-    of its letters followed by those of the ASCII punctuation after them.  Pieces
-    are told apart by 64-bit hashes.
+    The tokenizer composes letters (NFC), lower-cases, splits at white space and
+    drops it, none of which reaches across white space; so a text's ids are those
+    of its words, and a word's are those of its letters followed by those of the
+    ASCII punctuation after them.  Words of ASCII only are lower-cased before that,
+    others are left to the tokenizer.  Pieces are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str):

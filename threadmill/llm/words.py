@@ -202,15 +202,21 @@ def distinct_sets(chunk: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_punctuation(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, bounds per text) of the words with A-Z in lower case, where
-    ASCII punctuation that follows an ASCII letter up to the word's end is a piece
-    of its own."""
-    chunk.data = _LOWER[chunk.data]
+    """(starts, ends, bounds per text) of the words, where ASCII punctuation that
+    follows an ASCII letter up to the word's end is a piece of its own.  A-Z become
+    lower case in words of ASCII only: elsewhere they may compose with what follows."""
     starts, ends = chunk.starts, chunk.ends
+    wide = np.concatenate([[0], np.cumsum(chunk.data >= 0x80)])
+    beyond = wide[ends] > wide[starts]
+    edges = np.zeros(len(chunk.data) + 1, np.int8)
+    edges[starts[beyond]] += 1
+    edges[ends[beyond]] -= 1
+    as_is = np.cumsum(edges[:-1], dtype=np.int8) > 0
+    chunk.data = np.where(as_is, chunk.data, _LOWER[chunk.data])
     places = np.arange(len(chunk.data), dtype=np.int32)
     places[_PUNCTUATION[chunk.data]] = -1
     cuts = np.maximum.accumulate(places)[ends - 1] + 1 if len(ends) else ends
-    before = chunk.data[np.maximum(cuts, 1) - 1] if len(ends) else ends
+    before = _LOWER[chunk.data[np.maximum(cuts, 1) - 1]] if len(ends) else ends
     split = (cuts > starts) & (cuts < ends) & (before >= ord("a")) & (before <= ord("z"))
     per_word = 1 + split
     first = np.cumsum(per_word) - per_word
