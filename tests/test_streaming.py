@@ -153,3 +153,28 @@ def test_thread_scope(spark):
     assert in_thread(df, None) is df and in_thread(df, -1) is df
     some = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id int, reply_to_msg_id bigint")
     assert [r.id for r in in_thread(some, 5).collect()] == [1]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("per_trigger", [1, 3])
+def test_late_scans_go_to_their_place(spark, tmp_path, seed, per_trigger):
+    files = landed_files()
+    files += [[record(m, scan, t) for m, t in ((500, "a"), (501, "ab"[scan % 2]), (502, None))] for scan in (4, 5)]
+    order = list(range(len(files)))
+    random.Random(seed).shuffle(order)
+    assert order != sorted(order)
+    write(tmp_path / "in", files, order)
+    store = MessageStore(spark, str(tmp_path / "store"), buckets=2, ids_per_range=2000).create()
+    run(spark, tmp_path / "in", store, tmp_path, per_trigger)
+    assert rows_of(store.current()) == rows_of(in_one_go(spark, tmp_path / "in"))
+
+
+def test_scans_older_than_the_base_lose(spark, tmp_path):
+    files = [[record(1, 5, "new"), record(2, 5, "x")], [record(1, 1, "old"), record(2, 9, "y")]]
+    write(tmp_path / "in", files, [1])
+    write(tmp_path / "base", files, [0])
+    store = MessageStore(spark, str(tmp_path / "store"), buckets=2, ids_per_range=2000).create()
+    store.write_base(in_one_go(spark, tmp_path / "base"))
+    run(spark, tmp_path / "in", store, tmp_path, per_trigger=1)
+    assert {r.message_id: r.text for r in store.current().collect()} == {1: "new", 2: "y"}
+    assert {r.message_id: r.change_type for r in store.change_log().collect()} == {2: "update"}

@@ -3,12 +3,14 @@
 Plain Parquet files cannot be updated in place.  The store therefore has
 
 * `base/`, one row per key,
-* `changes/batch_id=<n>/`, for every increment the rows it changed, and
+* `changes/batch_id=<n>/`, for every increment the rows it changed,
+* `versions/batch_id=<n>/`, for every micro-batch of a stream all versions it
+  brought, so that later ones can be put in order among them, and
 * `checkpoints/batch_id=<n>/`, how far it got in each chat and topic,
 
-the first two partitioned by `chat_bucket` and `id_range`, so that an increment
+the first three partitioned by `chat_bucket` and `id_range`, so that an increment
 reads only the part of the table its ids fall into.  Writing a batch replaces its own
-folder and nothing else, and a batch is always computed from the batches before
+folders and nothing else, and a batch is always computed from the batches before
 it: a repeated batch writes the same rows again, and a lost task or job damages
 nothing.  Readers see a batch once they ask for it by `before_batch`.
 :func:`MessageStore.compact` writes a new store whose base holds everything.
@@ -50,13 +52,17 @@ class MessageStore:
     def _changes(self) -> str:
         return f"{self.path}/changes"
 
+    @property
+    def _versions(self) -> str:
+        return f"{self.path}/versions"
+
     @property
     def _checkpoints(self) -> str:
         return f"{self.path}/checkpoints"
 
     def create(self) -> MessageStore:
         """Make an empty store; leaves an existing one alone."""
-        for path in (self._base, self._changes, self._checkpoints):
+        for path in (self._base, self._changes, self._versions, self._checkpoints):
             self.spark.createDataFrame([], MESSAGES).write.mode("ignore").parquet(path)
         return self
 
@@ -83,6 +89,24 @@ class MessageStore:
         rows = changed.select(*MESSAGES.names, "change_type")
         self._write(rows, f"{self._changes}/batch_id={batch_id}")
 
+    def write_versions(self, batch_id: int, staged: DataFrame) -> None:
+        """Write all versions a micro-batch of a stream brought."""
+        self._write(staged.select(*MESSAGES.names), f"{self._versions}/batch_id={batch_id}")
+
+    def versions(self, before_batch: int | None = None, near: DataFrame | None = None) -> DataFrame:
+        """The versions of the micro-batches before `before_batch`; with `near`,
+        at least those that share a key with it."""
+        schema = T.StructType([*MESSAGES.fields, *_PARTITIONS, _BATCH])
+        written = self.spark.read.schema(schema).parquet(self._versions).where(self._around(near))
+        if before_batch is not None:
+            written = written.where(F.col("batch_id") < before_batch)
+        return written.select(*MESSAGES.names)
+
+    def base(self, near: DataFrame | None = None) -> DataFrame:
+        """The table without the changes of any batch, narrowed as :func:`current`."""
+        schema = T.StructType([*MESSAGES.fields, *_PARTITIONS])
+        return self.spark.read.schema(schema).parquet(self._base).where(self._around(near)).select(*MESSAGES.names)
+
     def change_log(self, before_batch: int | None = None) -> DataFrame:
         schema = T.StructType([*MESSAGES.fields, _KIND, *_PARTITIONS, _BATCH])
         log = self.spark.read.schema(schema).parquet(self._changes)
@@ -136,5 +160,6 @@ class MessageStore:
         """A new store at `path` with the current rows as its base."""
         compacted = MessageStore(self.spark, path, self.buckets, self.ids_per_range).create()
         compacted.write_base(self.current(before_batch))
+        compacted.write_versions(_BEFORE_ALL, self.versions(before_batch))
         compacted.write_checkpoints(_BEFORE_ALL, self.checkpoints(before_batch))
         return compacted

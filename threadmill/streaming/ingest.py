@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadmill.operators.filters import content, since
-from threadmill.operators.upsert import upsert_changes
-from threadmill.schema import LANDED, SCOPE
+from threadmill.operators.upsert import known_rows, upsert_changes
+from threadmill.schema import KEY, LANDED, MESSAGES, SCOPE
 from threadmill.sinks.store import MessageStore
 from threadmill.sources.raw import canonical_scope, flatten_raw
 
-# Within a micro-batch, later scans and later edits apply last; `version` only
-# makes the order total.
+# Later scans and later edits apply last; `version` only makes the order total.
 _ORDER = ("updated_at", "edit_date", "version")
 
 
@@ -30,14 +29,46 @@ def reached(staged: DataFrame) -> DataFrame:
     )
 
 
+def _versioned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("version", F.xxhash64(content()))
+
+
+def ordered_changes(
+    current: DataFrame, base: DataFrame, earlier: DataFrame, staged: DataFrame
+) -> DataFrame:
+    """What `staged` changes in `current`, as :func:`upsert_changes` has it, if the
+    versions of a key apply in the order of their scans, whenever they came.
+
+    `current` is `base`, one row per key, after all versions in `earlier`.
+    Versions from before the row of `base` lose.
+    """
+    versions = _versioned(known_rows(earlier, staged).unionByName(staged.select(*MESSAGES.names)))
+    place = F.struct(*_ORDER)
+    anchors = _versioned(known_rows(base, staged)).select(*KEY, place.alias("_anchor"))
+    newer = versions.join(anchors, list(KEY), "left").where(F.col("_anchor").isNull() | (place > F.col("_anchor")))
+    folded = upsert_changes(base, newer.drop("_anchor"), _ORDER)
+    state = F.struct(content(), "updated_at", "date", "chat_id").alias("_state")
+    before = known_rows(current, staged).select(
+        *KEY, F.coalesce("deleted", F.lit(0)).alias("_deleted"), state
+    )
+    kind = (
+        F.when(F.col("_deleted").isNull(), "insert")
+        .when((F.col("_deleted") != 0) & (F.col("deleted") == 0), "revive")
+        .when(F.col("_state") != F.struct(content(), "updated_at", "date", "chat_id"), "update")
+        .otherwise("unchanged")
+    )
+    return folded.join(before, list(KEY), "left").select(*MESSAGES.names, kind.alias("change_type"))
+
+
 def stream_upsert(
     landed: DataFrame, store: MessageStore, checkpoint: str, cutoff: object | None = None
 ) -> StreamingQuery:
     """Upsert every micro-batch of landed records into the store.
 
-    Micro-batches apply in the order they arrive, as runs do: a file source
-    takes files by modification time.  Within one, records apply in the order
-    they were scanned, whatever files they are in.
+    Records apply in the order they were scanned, whatever files and micro-batches
+    they are in: a scan that arrives late goes to its place among the versions that
+    came before, which the store keeps.  The table ends the same for any order of
+    the files and any number of them per trigger.
 
     `cutoff` drops older records with a plain filter: a watermark would also
     drop records of files that merely arrive out of order.  Exact copies within
@@ -54,12 +85,15 @@ def stream_upsert(
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         staged = batch.distinct().withColumns(
-            {"id": F.lit(None).cast("bigint"), "version": F.xxhash64(content())}
+            {"id": F.lit(None).cast("bigint"), "deleted": F.lit(0)}
         )
         staged = staged.persist()
         try:
             current = store.current(before_batch=batch_id, near=staged)
-            store.write_changes(batch_id, upsert_changes(current, staged, _ORDER))
+            earlier = store.versions(before_batch=batch_id, near=staged)
+            changes = ordered_changes(current, store.base(near=staged), earlier, staged)
+            store.write_changes(batch_id, changes)
+            store.write_versions(batch_id, staged)
             store.write_checkpoints(batch_id, reached(staged))
         finally:
             staged.unpersist()
