@@ -12,6 +12,7 @@ from threadmill.llm.decontaminate import contaminated
 from threadmill.llm.jaccard import jaccard_groups
 from threadmill.llm.language import fit_language, predict_language
 from threadmill.llm.mixing import mix_sources
+from threadmill.llm.pieces import decode_pieces, encode_pieces
 from threadmill.llm.quality import fit_quality, score_quality
 from threadmill.llm.sharding import byte_shards
 from threadmill.llm.substrings import remove_repeated
@@ -105,3 +106,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "similarity", "first_word", "n_words")
+
+
+@_query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
