@@ -15,6 +15,7 @@ from threadmill.llm.mixing import mix_sources
 from threadmill.llm.pieces import decode_pieces, encode_pieces
 from threadmill.llm.quality import fit_quality, score_quality
 from threadmill.llm.sharding import byte_shards
+from threadmill.llm.structure import damaged, repair_report
 from threadmill.llm.substrings import remove_repeated
 from threadmill.llm.tokens import token_ids
 from threadmill.llm.zipwarc import archived_pages
@@ -117,3 +118,9 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
