@@ -18,9 +18,11 @@ from threadmill.llm.words import Chunk, chunks
 
 # White space in pieces is this character; a text starts with one that is not in it.
 MARKER = "▁"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+# So many texts are copied and marked together.
+ROWS = 1000
 # The table starts anew beyond so many distinct marked words, or bytes of them.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 300_000
 TABLE_BYTES = 32 << 20
 
 _SPACE = 0x20
@@ -135,7 +137,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, carry: Sequence[str
         raise ValueError("the result has a column ids of its own")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             texts = pc.replace_substring(batch.column(0).cast(pa.large_string()).fill_null(""), MARKER, " ")
             marked = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(_ONE_SPACE, texts, _NOTHING))
             for chunk in chunks(marked, size=CHUNK_BYTES):
