@@ -196,3 +196,53 @@ components AS (SELECT id, min(other) AS component FROM reached GROUP BY id)
 SELECT s.doc_id, len(s.items)::BIGINT AS n_shingles, coalesce(k.component, s.doc_id) AS component_id
 FROM sets s LEFT JOIN classes c ON s.items = c.items LEFT JOIN components k ON k.id = c.id
 """
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM documents
+),
+totals AS (
+    SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+),
+counted AS MATERIALIZED (
+    SELECT lang, size, phrase, count(*)::BIGINT AS f
+    FROM (
+        SELECT lang, size, unnest(list_transform(range(1, (len(words) - size + 2)::BIGINT), lambda i: words[i:i + size - 1])) AS phrase
+        FROM pieces, (VALUES (1), (2), (3)) AS sizes(size)
+        WHERE len(words) >= size
+    )
+    GROUP BY ALL HAVING count(*) >= 10
+),
+parts AS (
+    SELECT lang, phrase, f AS a, k, phrase[1:k] AS head, phrase[k + 1:size] AS rest
+    FROM counted, (VALUES (1), (2)) AS cuts(k) WHERE k < size
+),
+cut AS (
+    SELECT p.lang, p.phrase, a, k, l.f AS l, r.f AS r,
+        ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM parts p
+    JOIN counted l ON l.lang = p.lang AND l.phrase = p.head
+    JOIN counted r ON r.lang = p.lang AND r.phrase = p.rest
+),
+scored AS (
+    SELECT lang, phrase, a, l, r, score FROM cut
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+inside AS (
+    SELECT lang, unnest([phrase[1:2], phrase[2:3]]) AS phrase, f FROM counted WHERE size = 3
+),
+kept AS (
+    SELECT lang, phrase, a, l, r, score FROM scored
+    LEFT JOIN (SELECT lang, phrase, max(f) AS most FROM inside GROUP BY ALL) i USING (lang, phrase)
+    WHERE most IS NULL OR 100 * most < 50 * a
+),
+ranked AS (
+    SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score FROM kept
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""

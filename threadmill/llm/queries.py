@@ -12,6 +12,7 @@ from threadmill.llm.decontaminate import contaminated
 from threadmill.llm.jaccard import jaccard_groups
 from threadmill.llm.language import fit_language, predict_language
 from threadmill.llm.mixing import mix_sources
+from threadmill.llm.phrases import collocations
 from threadmill.llm.pieces import decode_pieces, encode_pieces
 from threadmill.llm.quality import fit_quality, score_quality
 from threadmill.llm.sharding import byte_shards
@@ -124,3 +125,8 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     return repair_report(conversations, damaged(conversations))
+
+
+@_query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
