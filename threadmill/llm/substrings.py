@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import BROADCAST_BYTES, partitions, settled
+from threadmill.llm.common import partitions, settled
 from threadmill.llm.hashcounts import Bitmap, frequent
 from threadmill.llm.words import Chunk, Spans, chunks, ranges
 
@@ -209,12 +209,12 @@ def remove_repeated(
     n_removed, kept_sha256 (of the kept words joined by a space), and with
     `with_text` these as kept_text.  Null texts, empty ones and those shorter than
     a window keep all their words; equal rows are repeats of each other; an empty
-    table gives an empty one.  Other columns are ignored."""
+    table gives an empty one.  Other columns are ignored.
+
+    Spans grow with the texts, so both sides are sorted once and merged, at every size."""
     spans = settled(repeated_spans(docs, window))
-    size = spans.agg(F.sum(F.size("spans") * 8 + 96)).first()[0] or 0
-    side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans.hint("merge")
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = docs.select("text", *carry).withColumn("text_key", key).join(side, "text_key", "left")
+    joined = docs.select("text", *carry).withColumn("text_key", key).join(spans.hint("merge"), "text_key", "left")
     carried = docs.select(*carry).schema.fields
     extra = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
     extra += [("kept_text", T.StringType())] * with_text
