@@ -137,9 +137,17 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The texts in chunks of about `size` bytes; a longer text is a chunk of
     its own.  A null counts as an empty text."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    first = 0
+    for piece in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        for chunk in _chunks(piece.cast(pa.large_binary()).fill_null(b""), size):
+            if lower:
+                chunk.data = _LOWER[chunk.data]
+            chunk.first += first
+            yield chunk
+        first += len(piece)
+
+
+def _chunks(texts: pa.LargeBinaryArray, size: int) -> Iterator[Chunk]:
     n = len(texts)
     if not n:
         return
@@ -150,8 +158,7 @@ def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Ite
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
-        part = data[offsets[first] : offsets[last]]
-        yield Chunk(first, _LOWER[part] if lower else part, offsets[first : last + 1] - offsets[first])
+        yield Chunk(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 
 
