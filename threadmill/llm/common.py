@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadmill.sinks.shared import scratch_path, settled
 
-__all__ = ["WORD", "n_words", "partitions", "running_totals", "scratch_path", "settled", "small_side"]
+__all__ = ["WORD", "free_names", "n_words", "partitions", "running_totals", "scratch_path", "settled", "small_side"]
 
 # A word is a run of anything but the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_names(docs: DataFrame, n: int) -> list[str]:
+    """Names for columns beside those of `docs`."""
+    start = "_m"
+    while any(c.lower().startswith(start) for c in docs.columns):
+        start += "m"
+    return [f"{start}{i}" for i in range(n)]
+
+
 def small_side(written: DataFrame, bytes_per_row: int = 64) -> DataFrame:
     """`written`, a table on disk, marked for a broadcast join if it is small.
 

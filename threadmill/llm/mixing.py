@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import WORD, n_words, running_totals, settled, small_side
+from threadmill.llm.common import WORD, free_names, n_words, running_totals, settled, small_side
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -228,32 +228,52 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A row comes once for each whole epoch, and once more with the words of its
     extra blocks, joined by a space, if it has any; n_chars, where there is
     such a column, is that of the new text.  Rows without words are in no mix.
+
+    What is taken grows with the documents: both are sorted by id, source and hash
+    and merged, at every size, so texts are shuffled once.
     """
-    key = ["_id", "_source", "_hash"]
-    takes = (
+    *key, once, number, spans, epochs, words = free_names(docs, 8)
+    takes = settled(
         mix_sources(docs)
         .where("taken > 0")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
-        .agg(F.collect_list(F.struct("epochs", "spans")).alias("_takes"))
+        .select(
+            *(F.col(c).alias(k) for c, k in zip(("doc_id", "source", "text_hash"), key)),
+            F.col("epochs").cast("int").alias(epochs),
+            F.col("spans").alias(spans),
+        )
     )
-    takes = settled(takes)
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.xxhash64("text") == F.col("_hash"))
+    copies = takes.groupBy(*key).agg(F.count(F.lit(1)).alias(number))
+    keyed = docs.withColumns(
+        {key[0]: F.col("doc_id"), key[1]: F.col("source"), key[2]: F.xxhash64("text")}
     )
     # Rows that are there more than once share a key: one of them brings the text.
-    single = docs.join(small_side(takes.where(F.size("_takes") == 1), 256), same)
-    several = docs.join(small_side(takes.where(F.size("_takes") > 1), 256), same).dropDuplicates(key)
-    taken = single.unionByName(several).withColumn("_take", F.explode("_takes"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.transform(
-        "_take.spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
+    several = settled(copies.where(F.col(number) > 1).drop(number))
+    single = keyed if several.isEmpty() else _joined(keyed, several, key, "left_anti")
+    repeated = _joined(keyed, several, key, "left_semi").dropDuplicates(key)
+    taken = _joined(single, takes.hint("merge"), key, "inner")
+    if not several.isEmpty():
+        taken = taken.unionByName(_joined(repeated, takes.hint("merge"), key, "inner"))
+    # An array of its own, not an expression that each span would evaluate anew.
+    whole = F.when(F.size(spans) == 0, F.array().cast("array<string>")).otherwise(
+        F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     )
-    whole = F.array_repeat(F.col("text"), F.col("_take.epochs").cast("int"))
-    part = F.when(F.size("_take.spans") > 0, F.array(F.array_join(F.flatten(cut), " "))).otherwise(
-        F.array().cast("array<string>")
+    cut = F.array_join(
+        F.flatten(
+            F.transform(
+                spans, lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
+            )
+        ),
+        " ",
     )
-    rows = taken.withColumn("_text", F.explode(F.concat(whole, part)))
-    values = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    parts = F.when(F.size(spans) > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))
+    each = taken.withColumn(words, F.explode(F.array(whole)))
+    rows = each.withColumn(once, F.explode(F.concat(F.array_repeat("text", F.col(epochs)), parts)))
+    values = {"text": F.col(once), "n_chars": F.length(once).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+
+
+def _joined(rows: DataFrame, other: DataFrame, key: list[str], how: str) -> DataFrame:
+    """A join on keys that may be null."""
+    named = other.withColumnsRenamed({k: f"{k}_" for k in key})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key]
+    return rows.join(named, same[0] & same[1] & same[2], how).drop(*(f"{k}_" for k in key))
