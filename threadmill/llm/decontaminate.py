@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import settled, small_side
+from threadmill.llm.common import free_names, settled, small_side
 from threadmill.llm.words import Chunk, Spans, chunks, mix, ranges
 
 SHINGLE = 5
@@ -342,11 +342,10 @@ def _lots(benchmark: DataFrame, size: int) -> Iterator[list]:
 
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without those that hold an item of `benchmark`."""
+    id_, key, text_key = free_names(docs, 3)
     found = settled(
-        contaminated(docs, benchmark)
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        .distinct()
+        contaminated(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
     )
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    keyed = docs.withColumn(text_key, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(text_key) == F.col(key))
     return keyed.join(small_side(found), same, "left_anti").select(*docs.columns)
