@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import partitions, settled, small_side
+from threadmill.llm.common import free_names, partitions, settled, small_side
 from threadmill.llm.components import components
 from threadmill.llm.hashcounts import frequent
 from threadmill.llm.words import chunks, distinct_sets, mix
@@ -229,6 +229,30 @@ def _enough() -> Column:
     return (100 + PERCENT) * (F.col("c") + F.greatest(*rest)) >= PERCENT * (F.col("n") + F.col("_n"))
 
 
+def outside_prefixes(compared: DataFrame) -> DataFrame:
+    """cls and token: of the tokens of each class outside its partner p, the rarest
+    ones, so many that two similar classes with p share one of them.
+
+    Similar sets have at least 3/4 of the larger one in common.  Of a set of n tokens, i of
+    them in p, that leaves 3/4 * n - i to be shared outside p, at least one; so losing any
+    one less from the outside tokens, in one order for all sets, leaves one that is shared.
+    What many sets share comes last in that order and is seldom needed."""
+    outside = settled(
+        compared.where(F.size("extra") > 0).select(
+            "b",
+            F.col("a").alias("cls"),
+            F.greatest(F.expr(f"({PERCENT} * n_a + 99) div 100") - F.col("shared"), F.lit(1)).alias("need"),
+            F.explode("extra").alias("token"),
+        )
+    )
+    # A token that no other class with p has cannot be shared.
+    often = outside.groupBy("b", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    placed = outside.join(often, ["b", "token"]).select("cls", "need", F.struct("df", "token").alias("t"))
+    ranked = placed.groupBy("cls", "need").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    used = F.slice("t", F.lit(1), F.greatest(F.size("t") - F.col("need") + 1, F.lit(0)).cast("int"))
+    return ranked.select("cls", F.explode(used).alias("t")).select("cls", "t.token")
+
+
 def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different sets that connect all that are
     connected by similar pairs.
@@ -274,7 +298,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     marked = settled(shared.select("sig", "cls").join(facts, "cls"))
     mixed = marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
     rest = settled(marked.join(mixed, "sig", "left_semi"))
-    far = first.select(F.col("a").alias("cls"), F.explode("extra").alias("token")).join(facts, "cls")
+    far = outside_prefixes(first).join(facts, "cls")
 
     both = F.col("n") + F.col("_n")
     inside = F.least("inside", "_inside")
@@ -362,13 +386,14 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     )
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
     # Rows that go, and rows that stay but are there more than once.
+    id_, key, stay, text_key = free_names(docs, 4)
     marked = settled(
         rows.join(first, "component")
         .where(~stays | (F.col("copies") > 1))
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), stays.alias("_stays"))
+        .select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), stays.alias(stay))
     )
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    keyed = docs.withColumn(text_key, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(text_key) == F.col(key))
     unique = keyed.join(small_side(marked), same, "left_anti")
-    twice = keyed.join(small_side(marked.where("_stays")), same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    twice = keyed.join(small_side(marked.where(stay)), same, "left_semi").dropDuplicates(["doc_id", text_key])
     return unique.unionByName(twice).select(*docs.columns)
