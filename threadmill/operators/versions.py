@@ -101,6 +101,11 @@ def _branches(
     return [p.withColumn("takes_effect", _takes_effect()) for p in parts]
 
 
+def effects(versions: DataFrame, order: Sequence[str] = ORDER, keys: Sequence[str] = KEY) -> DataFrame:
+    """Every version of ordinary keys with `version_no` and `takes_effect`."""
+    return _branches(versions, order, None, CHUNK_IDS, keys)[0].drop("previous")
+
+
 def crowded_keys(
     versions: DataFrame, hot_rows: int = HOT_ROWS, keys: Sequence[str] = KEY
 ) -> DataFrame:

@@ -1,40 +1,63 @@
 """A message table kept as Parquet: a base and a log of changes.
 
-Plain Parquet files cannot be updated in place.  The store therefore has
-
-* `base/`, one row per key,
-* `changes/batch_id=<n>/`, for every increment the rows it changed,
-* `versions/batch_id=<n>/`, for every micro-batch of a stream all versions it
-  brought, so that later ones can be put in order among them, and
-* `checkpoints/batch_id=<n>/`, how far it got in each chat and topic,
-
-the first three partitioned by `chat_bucket` and `id_range`, so that an increment
-reads only the part of the table its ids fall into.  Writing a batch replaces its own
-folders and nothing else, and a batch is always computed from the batches before
-it: a repeated batch writes the same rows again, and a lost task or job damages
-nothing.  Readers see a batch once they ask for it by `before_batch`.
-:func:`MessageStore.compact` writes a new store whose base holds everything.
+Plain Parquet files cannot be updated in place.  The store has a base, one row
+per key, and for every batch the rows it changed, both partitioned by
+`chat_bucket` and `id_range`, so that a batch reads only the part of the table it
+touches.  :mod:`threadmill.sinks.manifest` says which batches count, and in what
+order: readers see whole batches only, each batch of a writer counts once, and a
+batch that was computed from a table that changed meanwhile is refused.
+
+:func:`MessageStore.fold` moves the log into the base, rewriting the
+partitions the log touches and no others; batches cost as much after a thousand
+batches as after the first.
+
+Besides the message columns a row has what is needed to put a scan that comes
+late in its place (:func:`threadmill.streaming.ingest.ordered_changes`): `run`, the
+scans since which it reads as it does, and `before`, the place of the last
+scan that read differently, or of the row itself where what came before is not known.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadmill.operators.filters import content, since
 from threadmill.schema import CHECKPOINTS, KEY, MESSAGES, SCOPE
+from threadmill.sinks.manifest import Conflict, Entry, Manifest
+from threadmill.sinks.shared import settled
 
+PLACE = ["chat_bucket", "id_range"]
 _PARTITIONS = [T.StructField("chat_bucket", T.IntegerType()), T.StructField("id_range", T.LongType())]
-_BATCH = T.StructField("batch_id", T.LongType())
+_PART = T.StructField("part", T.StringType())
 _KIND = T.StructField("change_type", T.StringType())
+_RUN = T.ArrayType(
+    T.StructType([MESSAGES["updated_at"], MESSAGES["date"], MESSAGES["chat_id"]])
+)
+_BEFORE = T.StructType([MESSAGES["updated_at"], MESSAGES["edit_date"], T.StructField("version", T.LongType())])
+ORDERED = [T.StructField("run", _RUN), T.StructField("before", _BEFORE)]
+
+# So many batches in the log are folded into the base by those who write regularly.
+FOLD_AFTER = 16
+
+
+def version() -> Column:
+    """Makes the order of versions total."""
+    return F.xxhash64(content())
 
-# The batch a compacted store starts from.
-_BEFORE_ALL = -1
 
-# The driver looks at no more partition values than this to narrow a scan.
-MAX_PRUNED = 10_000
+def anchored(rows: DataFrame) -> DataFrame:
+    """`rows` as the store keeps them if nothing is known about the time before."""
+    own = {
+        "run": F.array(F.struct("updated_at", "date", "chat_id")),
+        "before": F.struct("updated_at", "edit_date", version().alias("version")),
+    }
+    return rows.withColumns({k: v for k, v in own.items() if k not in rows.columns})
 
 
 @dataclass(frozen=True)
@@ -45,27 +68,33 @@ class MessageStore:
     ids_per_range: int = 1_000_000
 
     @property
-    def _base(self) -> str:
-        return f"{self.path}/base"
-
-    @property
-    def _changes(self) -> str:
-        return f"{self.path}/changes"
-
-    @property
-    def _versions(self) -> str:
-        return f"{self.path}/versions"
-
-    @property
-    def _checkpoints(self) -> str:
-        return f"{self.path}/checkpoints"
+    def manifest(self) -> Manifest:
+        return Manifest(self.spark, f"{self.path}/manifest")
 
     def create(self) -> MessageStore:
         """Make an empty store; leaves an existing one alone."""
-        for path in (self._base, self._changes, self._versions, self._checkpoints):
-            self.spark.createDataFrame([], MESSAGES).write.mode("ignore").parquet(path)
+        if not self.manifest.numbers():
+            try:
+                self.manifest.commit(Entry(0, "fold", [], through=0))
+            except Conflict:
+                pass
         return self
 
+    def version(self) -> int:
+        """The number of the last entry: what a batch is computed from."""
+        return self.manifest.numbers()[-1]
+
+    def applied(self, writer: str, batch: int) -> Entry | None:
+        """The entry that holds this batch of this writer, if it is in the table."""
+        for entry in self.manifest.live():
+            if entry.kind == "batch" and (entry.writer, entry.batch) == (writer, batch):
+                return entry
+            if entry.kind == "fold" and entry.applied.get(writer, -1) >= batch:
+                return entry
+        return None
+
+    # Places
+
     def _placed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns(
             {
@@ -74,92 +103,190 @@ class MessageStore:
             }
         )
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        # Rebalancing splits a large partition over tasks and keeps a small one whole.
-        placed = self._placed(rows).hint("rebalance", "chat_bucket", "id_range")
-        placed.write.mode("overwrite").partitionBy("chat_bucket", "id_range").parquet(path)
+    def places(self, keys: DataFrame) -> DataFrame:
+        """The partitions in which `keys`, or all messages of its scopes, lie: a small
+        written table.  The condition holds for every row; it marks the table as
+        worth pruning a scan by."""
+        if "message_id" in keys.columns:
+            found = self._placed(keys.select(*KEY)).select(*PLACE)
+        else:
+            found = self._placed(keys.select("chat_identifier", F.lit(None).cast("long").alias("message_id"))).select(
+                "chat_bucket"
+            )
+        return settled(found.distinct()).where("chat_bucket >= 0")
 
-    def write_base(self, messages: DataFrame) -> None:
-        """Replace the base by a table with one row per key."""
-        self._write(messages.select(*MESSAGES.names), self._base)
-
-    def write_changes(self, batch_id: int, changes: DataFrame) -> None:
-        """Write the rows a batch changed; unchanged ones are left out."""
-        changed = changes.where(F.col("change_type") != "unchanged")
-        rows = changed.select(*MESSAGES.names, "change_type")
-        self._write(rows, f"{self._changes}/batch_id={batch_id}")
-
-    def write_versions(self, batch_id: int, staged: DataFrame) -> None:
-        """Write all versions a micro-batch of a stream brought."""
-        self._write(staged.select(*MESSAGES.names), f"{self._versions}/batch_id={batch_id}")
-
-    def versions(self, before_batch: int | None = None, near: DataFrame | None = None) -> DataFrame:
-        """The versions of the micro-batches before `before_batch`; with `near`,
-        at least those that share a key with it."""
-        schema = T.StructType([*MESSAGES.fields, *_PARTITIONS, _BATCH])
-        written = self.spark.read.schema(schema).parquet(self._versions).where(self._around(near))
-        if before_batch is not None:
-            written = written.where(F.col("batch_id") < before_batch)
-        return written.select(*MESSAGES.names)
-
-    def base(self, near: DataFrame | None = None) -> DataFrame:
-        """The table without the changes of any batch, narrowed as :func:`current`."""
-        schema = T.StructType([*MESSAGES.fields, *_PARTITIONS])
-        return self.spark.read.schema(schema).parquet(self._base).where(self._around(near)).select(*MESSAGES.names)
-
-    def change_log(self, before_batch: int | None = None) -> DataFrame:
-        schema = T.StructType([*MESSAGES.fields, _KIND, *_PARTITIONS, _BATCH])
-        log = self.spark.read.schema(schema).parquet(self._changes)
-        return log if before_batch is None else log.where(F.col("batch_id") < before_batch)
-
-    def _around(self, near: DataFrame | None) -> Column:
-        """True for the partitions in which keys of `near` can be.
-
-        Collects partition values only, and gives up narrowing beyond MAX_PRUNED.
-        """
-        if near is None:
-            return F.lit(True)
-        wanted = self._placed(near.select(*KEY)).select("chat_bucket", "id_range").distinct()
-        values = wanted.limit(MAX_PRUNED + 1).collect()
-        if len(values) > MAX_PRUNED:
-            return F.lit(True)
-        buckets, ranges = {v.chat_bucket for v in values}, {v.id_range for v in values}
-        return F.col("chat_bucket").isin(buckets) & F.col("id_range").isin(ranges)
-
-    def current(self, before_batch: int | None = None, near: DataFrame | None = None) -> DataFrame:
-        """One row per key, as of the batches before `before_batch`; with
-        `near`, at least all rows that share a key with it."""
-        schema = T.StructType([*MESSAGES.fields, *_PARTITIONS])
-        around = self._around(near)
-        base = self.spark.read.schema(schema).parquet(self._base).where(around)
-        log = self.change_log(before_batch).where(around)
-        newest = (
-            log.groupBy(*KEY)
-            .agg(F.max_by(F.struct(*MESSAGES.names), "batch_id").alias("row"))
-            .select("row.*")
-        )
+    # Reading
+
+    def _read(self, kind: str, parts: Sequence[str], fields: Sequence[T.StructField], near: DataFrame | None) -> DataFrame:
+        """The rows of some parts; with `near`, a table of places, those in these: a
+        join on the partition columns, by which Spark prunes the scan."""
+        schema = T.StructType([*fields, _PART, *_PARTITIONS])
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        folder = f"{self.path}/{kind}"
+        rows = self.spark.read.schema(schema).option("basePath", folder).parquet(*(f"{folder}/part={p}" for p in parts))
+        return rows if near is None else rows.join(near, near.columns, "left_semi")
+
+    def _base(self, folds: Sequence[str], near: DataFrame | None) -> DataFrame:
+        rows = self._read("base", folds, [*MESSAGES.fields, *ORDERED], near)
+        if len(folds) < 2:
+            return rows
+        written = self._read("places", folds, [], None)
+        number = F.element_at(F.create_map(*(F.lit(x) for i, p in enumerate(folds) for x in (p, i))), F.col("part"))
+        newest = written.groupBy(*PLACE).agg(F.max_by("part", number).alias("part"))
+        return rows.join(newest, [*PLACE, "part"], "left_semi")
+
+    def _log(self, entries: Sequence[Entry], near: DataFrame | None) -> DataFrame:
+        rows = self._read("log", [e.parts[0] for e in entries], [*MESSAGES.fields, *ORDERED, _KIND], near)
+        pairs = [F.lit(x) for e in entries for x in (e.parts[0], e.number)]
+        number = F.element_at(F.create_map(*pairs), F.col("part")) if pairs else F.lit(0)
+        return rows.withColumn("number", number)
+
+    def state(
+        self, before: int | None = None, near: DataFrame | None = None, since_date: object | None = None
+    ) -> DataFrame:
+        """One row per key, with `run` and `before`, after the entries below number `before`.
+
+        With `near`, a table of :func:`places`, at least the rows in these; with
+        `since_date`, at least the rows dated then or later."""
+        live = self.manifest.live(before)
+        folds = [p for e in live if e.kind == "fold" for p in e.parts]
+        batches = [e for e in live if e.kind == "batch"]
+        columns = [*MESSAGES.names, "run", "before"]
+        base = self._base(folds, near)
+        if since_date is not None:
+            base = since(base, since_date)
+        if not batches:
+            return base.select(*columns)
+        log = self._log(batches, near)
+        newest = log.groupBy(*KEY).agg(F.max_by(F.struct(*columns), "number").alias("row")).select("row.*")
         rest = base.join(log.select(*KEY).distinct(), list(KEY), "left_anti")
-        return rest.select(*MESSAGES.names).unionByName(newest)
+        return rest.select(*columns).unionByName(newest)
 
-    def write_checkpoints(self, batch_id: int, scopes: DataFrame) -> None:
-        """Write how far a batch got: `last_message_id`, `last_run_ts` per scope."""
-        rows = scopes.select(*CHECKPOINTS.names)
-        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self._checkpoints}/batch_id={batch_id}")
+    def current(self, before: int | None = None, near: DataFrame | None = None) -> DataFrame:
+        """One row per key; with `near`, rows with keys, at least all that share one with it."""
+        return self.state(before, None if near is None else self.places(near)).select(*MESSAGES.names)
 
-    def checkpoints(self, before_batch: int | None = None) -> DataFrame:
+    def change_log(self) -> DataFrame:
+        """The changes since the last fold, with `change_type` and the entry's `number`."""
+        batches = [e for e in self.manifest.live() if e.kind == "batch"]
+        changed = self._log(batches, None).where("change_type <> 'unchanged'")
+        return changed.select(*MESSAGES.names, "change_type", "number")
+
+    def checkpoints(self, before: int | None = None) -> DataFrame:
         """Highest message id and latest run per scope, over all batches."""
-        schema = T.StructType([*CHECKPOINTS.fields, _BATCH])
-        written = self.spark.read.schema(schema).parquet(self._checkpoints)
-        if before_batch is not None:
-            written = written.where(F.col("batch_id") < before_batch)
+        parts = [p for e in self.manifest.live(before) for p in e.parts]
+        paths = [f"{self.path}/checkpoints/part={p}" for p in parts]
+        if not paths:
+            return self.spark.createDataFrame([], T.StructType(CHECKPOINTS.fields))
+        written = self.spark.read.schema(T.StructType(CHECKPOINTS.fields)).parquet(*paths)
         return written.groupBy(*SCOPE).agg(
             F.max("last_message_id").alias("last_message_id"), F.max("last_run_ts").alias("last_run_ts")
         )
 
-    def compact(self, path: str, before_batch: int | None = None) -> MessageStore:
+    def counters(self) -> DataFrame:
+        """What each batch since the last fold did: number, writer, batch, and rows by kind of change."""
+        kinds = ("insert", "update", "revive", "delete", "unchanged")
+        rows = [
+            (e.number, e.writer, e.batch, *(e.counts.get(k, 0) for k in kinds))
+            for e in self.manifest.live()
+            if e.kind == "batch"
+        ]
+        names = "number long, writer string, batch long, " + ", ".join(f"`{k}` long" for k in kinds)
+        return self.spark.createDataFrame(rows, names)
+
+    # Writing
+
+    def _write(self, rows: DataFrame, kind: str, part: str) -> None:
+        # Rebalancing splits a large partition over tasks and keeps a small one whole.
+        placed = self._placed(rows).hint("rebalance", *PLACE)
+        placed.write.partitionBy(*PLACE).parquet(f"{self.path}/{kind}/part={part}")
+
+    def _write_checkpoints(self, scopes: DataFrame | None, part: str) -> None:
+        if scopes is None:
+            scopes = self.spark.createDataFrame([], T.StructType(CHECKPOINTS.fields))
+        rows = scopes.select(*CHECKPOINTS.names)
+        rows.hint("rebalance").write.parquet(f"{self.path}/checkpoints/part={part}")
+
+    def commit(
+        self,
+        writer: str,
+        batch: int,
+        changes: DataFrame,
+        checkpoints: DataFrame | None = None,
+        seen: int | None = None,
+    ) -> Entry:
+        """Add a batch: rows with `change_type`, of which those that change nothing,
+        not even `run`, are left out, and how far it got in each scope.
+
+        `seen` is the :func:`version` from which it was computed; if there is a
+        newer one, :class:`Conflict` is raised and the table stays as it is.  A
+        batch that is in the table already is not added again."""
+        done = self.applied(writer, batch)
+        if done is not None:
+            return done
+        part = f"p{uuid.uuid4().hex}"
+        if "run" not in changes.columns:
+            changes = anchored(changes.where(F.col("change_type") != "unchanged"))
+        self._write(changes.select(*MESSAGES.names, "run", "before", "change_type"), "log", part)
+        self._write_checkpoints(checkpoints, part)
+        written = self._read("log", [part], [*MESSAGES.fields, *ORDERED, _KIND], None)
+        counts = {r[0]: r[1] for r in written.groupBy("change_type").count().collect()}
+        number = (self.version() if seen is None else seen) + 1
+        return self.manifest.commit(Entry(number, "batch", [part], writer, batch, counts=counts))
+
+    def write_base(self, messages: DataFrame) -> None:
+        """Replace everything by a table with one row per key."""
+        part, seen = f"p{uuid.uuid4().hex}", self.version()
+        self._write_fold(anchored(messages.select(*MESSAGES.names)), part)
+        self._write_checkpoints(None, part)
+        self.manifest.commit(Entry(seen + 1, "fold", [part], through=seen + 1))
+
+    def _write_fold(self, rows: DataFrame, part: str, places: DataFrame | None = None) -> None:
+        columns = [*MESSAGES.names, "run", "before"]
+        self._write(rows.select(*columns), "base", part)
+        if places is None:
+            places = self._read("base", [part], [], None).select(*PLACE).distinct()
+        marks = places.select(*PLACE, F.lit(1).alias("one"))
+        marks.repartition(1).write.partitionBy(*PLACE).parquet(f"{self.path}/places/part={part}")
+
+    def fold(self) -> Entry | None:
+        """Move the log into the base: the partitions it touches are written anew, as
+        a part that takes their place; the others stay.  Batches that are committed
+        meanwhile stay in the log; if another fold is, this one has no effect."""
+        live = self.manifest.live()
+        batches = [e for e in live if e.kind == "batch"]
+        if not batches:
+            return None
+        seen, part = batches[-1].number, f"p{uuid.uuid4().hex}"
+        last = next((e for e in live if e.kind == "fold"), Entry(-1, "fold", []))
+        touched = settled(self._log(batches, None).select(*PLACE).distinct()).where("chat_bucket >= 0")
+        self._write_fold(self.state(seen + 1, touched), part, touched)
+        self._write_checkpoints(self.checkpoints(seen + 1), part)
+        applied = dict(last.applied)
+        for entry in batches:
+            applied[entry.writer] = max(applied.get(entry.writer, -1), entry.batch)
+        while True:
+            now = self.manifest.live()
+            if any(e.kind == "fold" and e.number > last.number for e in now):
+                return None
+            number = max(e.number for e in now) + 1
+            try:
+                return self.manifest.commit(
+                    Entry(number, "fold", [*last.parts, part], through=seen, applied=applied)
+                )
+            except Conflict:
+                continue
+
+    def compact(self, path: str, before: int | None = None) -> MessageStore:
         """A new store at `path` with the current rows as its base."""
         compacted = MessageStore(self.spark, path, self.buckets, self.ids_per_range).create()
-        compacted.write_base(self.current(before_batch))
-        compacted.write_versions(_BEFORE_ALL, self.versions(before_batch))
-        compacted.write_checkpoints(_BEFORE_ALL, self.checkpoints(before_batch))
+        part = f"p{uuid.uuid4().hex}"
+        compacted._write_fold(self.state(before), part)
+        compacted._write_checkpoints(self.checkpoints(before), part)
+        applied: dict[str, int] = {}
+        for entry in self.manifest.live(before):
+            for writer, batch in {**entry.applied, **({entry.writer: entry.batch} if entry.writer else {})}.items():
+                applied[writer] = max(applied.get(writer, -1), batch)
+        compacted.manifest.commit(Entry(1, "fold", [part], through=1, applied=applied))
         return compacted

@@ -281,6 +281,7 @@ QUALIFY row_number() OVER (PARTITION BY cleaned {FIRST_SEEN}, chat_identifier, t
 
 ORACLES["upsert_snapshot"] = f"{upsert()} SELECT {ROW} FROM state"
 ORACLES["snapshot_write"] = ORACLES["upsert_snapshot"]
+ORACLES["store_fold"] = ORACLES["upsert_snapshot"]
 ORACLES["upsert_changes"] = f"{upsert()} SELECT {ROW}, change_type FROM touched"
 _young = f"scanned >= TIMESTAMP '{EDIT_CUTOFF}'"
 ORACLES["edit_rescan"] = f"{upsert(_young)} SELECT {ROW}, change_type FROM touched"
@@ -500,6 +501,18 @@ SELECT count(*) AS rows_read, count(*) FILTER (kept) AS rows_kept,
 
 # --- streams and rates ------------------------------------------------------------
 
+ORACLES["sync_store_run"] = ORACLES["sync_snapshot"]
+
+ORACLES["stream_counters"] = """
+WITH landed AS (
+    SELECT DISTINCT event_id % 4 AS slice, event_type, coalesce(user_id % 4, 0) AS topic, event_id % 1000 AS message_id
+    FROM events WHERE ts IS NOT NULL
+)
+SELECT 'stream' AS writer, 4::BIGINT AS batches,
+    (SELECT count(*) FROM (SELECT DISTINCT event_type, topic, message_id FROM landed)) AS inserted,
+    (SELECT count(*) FROM landed) AS touched
+"""
+
 ORACLES["stream_upsert"] = f"""WITH {KEYED},
 streamed AS (
  SELECT * REPLACE (0 AS deleted, 0 AS source_order, coalesce(text, '') AS text) FROM keyed),

@@ -30,7 +30,7 @@ from threadmill.operators import (
     versions,
 )
 from threadmill.plans.aggregate import merge_by_chat
-from threadmill.plans.sync import SyncRun, sync_run
+from threadmill.plans.sync import SyncRun, sync_store, sync_run
 from threadmill.sinks import exports
 from threadmill.sinks.shared import scratch_path
 from threadmill.sinks.store import MessageStore
@@ -269,8 +269,24 @@ def snapshot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = MessageStore(spark, scratch_path(spark), buckets=4, ids_per_range=250).create()
     store.write_base(_zoned(current_table(spark, sf_dir)))
     staged = _zoned(staged_rows(spark, sf_dir))
-    changes = upsert.upsert_changes(store.current(0, near=staged), staged)
-    store.write_changes(0, changes)
+    store.commit("increments", 0, upsert.upsert_changes(store.current(near=staged), staged))
+    return zoneless(store.current())
+
+
+@query
+def store_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a base and three increments, folded after the first two."""
+    fx.use_utc(spark)
+    store = MessageStore(spark, scratch_path(spark), buckets=4, ids_per_range=250).create()
+    store.write_base(_zoned(current_table(spark, sf_dir)))
+    staged = _zoned(staged_rows(spark, sf_dir))
+    low, high = staged.agg(F.min("id"), F.max("id")).first()
+    third = (high - low) // 3 + 1
+    for batch in range(3):
+        some = staged.where(F.expr(f"(id - {low}) div {third} = {batch}"))
+        store.commit("increments", batch, upsert.upsert_changes(store.current(near=some), some))
+        if batch < 2:
+            store.fold()
     return zoneless(store.current())
 
 
@@ -576,6 +592,31 @@ def sync_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sync(spark, sf_dir).snapshot
 
 
+@query
+def sync_store_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run against a store, folded, run again in vain, and read back."""
+    fx.use_utc(spark)
+    m = fx.chronological_msgs(spark, sf_dir)
+    normal = m.withColumn("topic_id", ids.topic_or_none(F.col("topic_id")))
+    columns = [f.name for f in schema.MESSAGES]
+    store = MessageStore(spark, scratch_path(spark), buckets=4, ids_per_range=250).create()
+    store.write_base(_zoned(normal.where("source_order <> 2").select(*columns)))
+    checkpoints = earlier_checkpoints(spark, sf_dir)
+    known = checkpoints.withColumn("last_run_ts", F.col("last_run_ts").cast("timestamp"))
+    nothing = spark.createDataFrame([], f"{schema.MESSAGES.simpleString()[7:-1]}, change_type:string")
+    store.commit("sync", 0, nothing, known)
+    scanned = _zoned(normal.where("source_order <> 1").select(*columns))
+    scopes = _timestamps(scanned_scopes(m, CUTOFF), "cutoff", "run_ts")
+    sync_store(store, 1, scanned, scopes, CUTOFF)
+    sync_store(store, 1, scanned, scopes, CUTOFF)
+    store.fold()
+    return zoneless(store.current())
+
+
+def _timestamps(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
+
+
 # --- aggregates -------------------------------------------------------------------
 
 
@@ -648,18 +689,9 @@ def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams and rates ------------------------------------------------------------
 
 
-@query
-def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table after streaming all events through the upsert."""
-    fx.use_utc(spark)
-    schema_of_events = fx.table(spark, sf_dir, "events").schema
-    events = (
-        spark.readStream.schema(schema_of_events)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    m = spark.sql(fx.MSGS, events=events)
-    landed = m.select(
+def _landed(events: DataFrame) -> DataFrame:
+    m = events.sparkSession.sql(fx.MSGS, events=events)
+    return m.select(
         F.col("date").cast("timestamp").alias("scanned_at"),
         "chat_id",
         "chat_identifier",
@@ -673,12 +705,37 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("sender_username").alias("username")).alias("sender"),
         "reply_to_msg_id",
     )
+
+
+def _streamed(spark: SparkSession, sf_dir: str, fold_after: int) -> MessageStore:
+    """A store after all events, in four files that each hold every fourth event, one per trigger."""
+    fx.use_utc(spark)
     folder = scratch_path(spark)
+    events = fx.table(spark, sf_dir, "events").withColumn("slice", F.col("event_id") % 4)
+    events.repartition("slice").write.partitionBy("slice").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
     store = MessageStore(spark, f"{folder}/store", buckets=4, ids_per_range=250).create()
-    start_upsert(landed, store, f"{folder}/offsets").awaitTermination()
+    start_upsert(_landed(stream), store, f"{folder}/offsets", fold_after=fold_after).awaitTermination()
+    return store
+
+
+@query
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after streaming all events through the upsert, the log folded on the way."""
+    store = _streamed(spark, sf_dir, fold_after=3)
     return zoneless(store.current().select(*schema.EXPORT_COLUMNS))
 
 
+@query
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches of the same stream did."""
+    counted = _streamed(spark, sf_dir, fold_after=100).counters()
+    kinds = F.col("insert") + F.col("update") + F.col("revive") + F.col("unchanged")
+    return counted.groupBy("writer").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("insert").alias("inserted"), F.sum(kinds).alias("touched")
+    )
+
+
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
 
