@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from threadmill.operators import rates
-from threadmill.streaming.rates import stream_rate_admitted
+from threadmill.streaming.rates import admitted_events, stream_rate_admitted
 
 START = datetime(2024, 1, 1)
 SCHEMA = "event_id bigint, client string, at timestamp, note bigint"
@@ -102,17 +102,23 @@ def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     for i in range(3):
         part = rows[i * len(rows) // 3 : (i + 1) * len(rows) // 3]
+        if i < 2:
+            part = [*part, (-1 - i, "busy", None, None)]
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
     events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
-    admitted = stream_rate_admitted(events, "client", "at", "event_id", 3, 10)
-    query = (
-        admitted.writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "offsets"))
-        .trigger(availableNow=True)
-        .start(str(tmp_path / "out"))
-    )
+    query = stream_rate_admitted(events, "client", "at", "event_id", str(tmp_path / "rates"), 3, 10)
     query.awaitTermination()
     assert len(query.recentProgress) >= 3
-    found = spark.read.schema(admitted.schema).parquet(str(tmp_path / "out")).collect()
-    assert len(found) == len(rows)
-    assert {r.event_id: r.admitted for r in found} == expected_flags(rows, 3, 10)
+    found = admitted_events(spark, str(tmp_path / "rates")).collect()
+    assert len(found) == len(rows) + 2
+    want = expected_flags(rows, 3, 10) | {-1: None, -2: None}
+    assert {r.event_id: r.admitted for r in found} == want
+
+
+def test_events_without_a_time_stay(spark):
+    rows = [(1, "a", START, 1), (2, "a", None, 2), (3, None, None, 3)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    admitted = rates.rate_admitted(events, "client", "at", "event_id", 1, 10).collect()
+    assert {r.event_id: r.admitted for r in admitted} == {1: True, 2: None, 3: None}
+    offered = rates.offered_load(events, "client", "at", 10).collect()
+    assert {r.event_id: r.offered for r in offered} == {1: 1, 2: None, 3: None}

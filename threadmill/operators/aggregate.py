@@ -92,11 +92,18 @@ def merge_groups(sources: DataFrame) -> DataFrame:
     """Sources to be merged: those whose chat at least one more source has.
 
     A source belongs to the chat of its first row by id, whatever that is; rows
-    without ids are ordered by what else they hold.  One row per source, with
-    the number of sources of its chat.
+    without ids come first, ordered by what else they hold.  One row per source,
+    with the number of sources of its chat.
+
+    The first ids are found from two columns; only rows that have them are looked at whole.
     """
-    by_source = sources.groupBy("source_name").agg(
-        F.min_by("chat_identifier", F.struct("id", tie(sources.columns))).alias("chat_identifier")
+    first_id = F.coalesce("id", F.lit(-(2**63)))
+    lowest = sources.groupBy(F.col("source_name").alias("_name")).agg(F.min(first_id).alias("_first"))
+    same = F.col("source_name").eqNullSafe(F.col("_name")) & (first_id == F.col("_first"))
+    by_source = (
+        sources.join(lowest, same)
+        .groupBy("source_name")
+        .agg(F.min_by("chat_identifier", tie(sources.columns)).alias("chat_identifier"))
     )
     sizes = (
         by_source.groupBy("chat_identifier")

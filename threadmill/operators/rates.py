@@ -47,7 +47,7 @@ def offered_load(
 
     A key's time is cut into blocks, so a busy key is spread over many tasks.
     The last window of a block also goes to the next one, where it is counted
-    but not returned.
+    but not returned.  Events without a time count nowhere; their `offered` is NULL.
     """
     span = window_seconds * 1_000_000
     block = F.floor(F.col("_t") / (span * block_windows))
@@ -60,7 +60,9 @@ def offered_load(
     )
     trailing = Window.partitionBy(key, "_block").orderBy("_t").rangeBetween(-(span - 1), 0)
     counted = placed.withColumn("offered", F.count(F.lit(1)).over(trailing))
-    return counted.where(F.col("_block") == block).drop("_t", "_block")
+    known = counted.where(F.col("_block") == block).drop("_t", "_block")
+    untimed = events.where(F.col(time).isNull())
+    return known.unionByName(untimed.withColumn("offered", F.lit(None).cast("bigint")))
 
 
 def admit(times: np.ndarray, recent: np.ndarray, limit: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +107,8 @@ def rate_admitted(
     it.  So only runs of busy blocks, each with the calm block before it for a
     start, go through the sequential rule: in Arrow batches, with no more state
     than `limit` times, and as many tasks as there are runs.  Only a key that
-    is over the limit without a pause stays in one task.
+    is over the limit without a pause stays in one task.  Events without a time
+    are neither admitted nor rejected: NULL.
     """
     span = window_seconds * 1_000_000
     timed = events.where(F.col(time).isNotNull()).withColumn("_t", _micros(F.col(time)))
@@ -164,4 +167,5 @@ def rate_admitted(
             returned = pc.invert(batch.column("_warm"))
             yield pa.RecordBatch.from_arrays(out, [*columns, "admitted"]).filter(returned)
 
-    return calm.unionByName(sequence.mapInArrow(evaluate, schema))
+    untimed = events.where(F.col(time).isNull()).withColumn("admitted", F.lit(None).cast("boolean"))
+    return calm.unionByName(sequence.mapInArrow(evaluate, schema)).unionByName(untimed)

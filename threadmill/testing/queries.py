@@ -36,7 +36,7 @@ from threadmill.sinks.shared import scratch_path
 from threadmill.sinks.store import MessageStore
 from threadmill.sources import files, raw, tables
 from threadmill.streaming.ingest import stream_upsert as start_upsert
-from threadmill.streaming.rates import stream_rate_admitted
+from threadmill.streaming.rates import admitted_events, stream_rate_admitted
 from threadmill.testing import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -764,23 +764,21 @@ def rate_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate evaluation of all events as a stream, written out and read back."""
+    """Rate evaluation of all events as a stream: three runs, each after a third of
+    the time, with the state of the one before."""
     fx.use_utc(spark)
-    events = (
-        spark.readStream.schema(fx.table(spark, sf_dir, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    admitted = stream_rate_admitted(events, "user_id", "ts", "event_id", RATE_LIMIT, RATE_WINDOW)
     folder = scratch_path(spark)
-    (
-        admitted.writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/offsets")
-        .trigger(availableNow=True)
-        .start(f"{folder}/admitted")
-        .awaitTermination()
-    )
-    return spark.read.schema(admitted.schema).parquet(f"{folder}/admitted")
+    events = fx.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    for third in range(3):
+        now = events.where(F.floor((micros - low) * 3 / (high - low + 1)) == third)
+        now.write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        stream_rate_admitted(
+            stream, "user_id", "ts", "event_id", f"{folder}/rates", RATE_LIMIT, RATE_WINDOW
+        ).awaitTermination()
+    return admitted_events(spark, f"{folder}/rates")
 
 
 # --- quality, evolution, retention ------------------------------------------------
