@@ -167,25 +167,21 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shipped: Bro
     with a text of b of its own; some groups together are one task's table."""
     spark = docs.sparkSession
     pairs = settled(pairs)
-    involved = settled(
-        pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls")
-    )
-    side = small_side(involved.select("cls", F.col("rep_id").alias("_id"), F.col("rep_key").alias("_key")))
-    texts = settled(
-        _keyed(docs)
-        .join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-        .select("cls", "text")
-    )
     counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).alias("groups"))
     dealt = settled(
         pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("g"))
     )
     buckets = max(2 * partitions(spark), dealt.count() // 400)
-    members = dealt.join(texts, F.col("a") == F.col("cls")).select("b", "g", "a", "text")
-    heads = dealt.select("b", "g").distinct().join(texts, F.col("b") == F.col("cls")).select(
-        "b", "g", F.col("b").alias("a"), "text"
+    heads = dealt.select(F.col("b").alias("a"), "b", "g").distinct()
+    # Places first, then texts: these are shuffled once, to where they are compared.
+    placed = settled(
+        dealt.unionByName(heads)
+        .join(classes, F.col("a") == F.col("cls"))
+        .select("a", "b", "g", F.col("rep_id").alias("_id"), F.col("rep_key").alias("_key"))
     )
-    grouped = members.unionByName(heads).withColumn("bucket", F.pmod(F.xxhash64("b", "g"), F.lit(buckets)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    texts = _keyed(docs).join(small_side(placed), same).select("b", "g", "a", "text")
+    grouped = texts.withColumn("bucket", F.pmod(F.xxhash64("b", "g"), F.lit(buckets)))
 
     def compare(table: pa.Table) -> pa.Table:
         b, g, a = (table.column(c).to_numpy() for c in ("b", "g", "a"))
