@@ -14,9 +14,9 @@ from threadmill.llm.common import settled, small_side
 from threadmill.llm.words import Chunk, Spans, chunks, ranges
 
 # The model learns from at most so many documents of each language, those with
-# the smallest hashes, and keeps so many entries of each order.
+# the smallest hashes, and keeps so many entries of each order for each language.
 DOCS_PER_LANGUAGE = 1500
-ENTRIES = 100_000
+ENTRIES = 50_000
 LONGEST = 5
 WORDS = 0
 UNKNOWN = "und"
@@ -173,10 +173,13 @@ def fit_language(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE
     hashes, logs = [], []
     for kind in range(LONGEST + 1):
         rows = summed.where(F.col("kind") == kind)
-        top = (
-            rows.groupBy("hash").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("of"))
-            .where("all > 1").orderBy(F.desc("all"), "hash").limit(entries)
-        )
+        often = rows.groupBy("hash").agg(
+            F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("of")
+        ).where("all > 1")
+        # Each language has its own, so that none is crowded out by larger ones.
+        by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "hash")
+        own = rows.join(often.select("hash"), "hash").withColumn("_place", F.row_number().over(by_count))
+        top = often.join(own.where(F.col("_place") <= entries).select("hash").distinct(), "hash")
         table = top.select("hash", *[F.coalesce(F.element_at("of", F.lit(lang)), F.lit(0)) for lang in languages]).toArrow()
         keys = table.column(0).to_numpy().view(np.uint64) if len(table) else np.zeros(0, np.uint64)
         counts = np.stack([table.column(1 + number[lang]).to_numpy() for lang in languages], axis=1).astype(float)
