@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.chats import best_paths, conversation_digests, format_conversations, parse_part
 from threadmill.llm.common import scratch_path
-from threadmill.llm.repair import ShardFile, shard_bytes
+from threadmill.llm.repair import LEAST, ShardFile, compress, shard_bytes
 from threadmill.llm.tokens import default_tokenizer, read_token_shards, token_ids, write_token_shards
 from threadmill.llm.zipwarc import archived_pages, stored_at, zip_bytes, zip_members
 
@@ -211,3 +211,17 @@ def test_token_ids_of_letters_that_compose_in_lower_case_only(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_ids(docs).collect()}
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
+@pytest.mark.parametrize("copies", [1, 300])
+def test_repair_leaves_no_frequent_pair(copies):
+    rng = np.random.default_rng(copies)
+    ids = np.tile(rng.integers(3, 40 if copies == 1 else 40_000, 20_000 // copies), copies)
+    ids[999::1000] = 2
+    grammar = compress(ids, 40_000, 2)
+    left, right = grammar.symbols[:-1], grammar.symbols[1:]
+    pairs = np.stack([left, right])[:, left != 2]
+    # Of overlapping places only some can be replaced: equal neighbours count half.
+    often = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1, return_counts=True)[1]
+    assert often.max() < LEAST
+    assert grammar.lengths.max() > 32 or copies == 1

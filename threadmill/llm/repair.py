@@ -18,9 +18,10 @@ import numpy as np
 MAGIC = b"RPAIR001"
 HEADER = "<6Q"
 
-ROUNDS = 5
-RULES_PER_ROUND = 2048
+# A rule is stored as three numbers of 4 bytes and pays from so many places on.
 LEAST = 8
+# So many rules are made in the first round, twice as many in each further one.
+FIRST_RULES = 2048
 _BUCKETS = 1 << 20
 
 
@@ -34,45 +35,44 @@ class Grammar:
 
 
 def _frequent_pairs(symbols: np.ndarray, end_id: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequent pairs, and two rows: the places of all of them, and which pair each is).
+    """(up to `limit` of the most frequent pairs, and two rows: the places of all
+    of them, and which pair each is).  No pair starts with the end of a document.
 
-    Places are counted by a hash of the pair; of the pairs that share a frequent
-    hash the first one is taken, and counted exactly.  No pair starts with
-    the end of a document."""
+    Places are counted by a hash of the pair, and exactly for the frequent hashes."""
     left, right = symbols[:-1], symbols[1:]
     buckets = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
     counts = np.bincount(buckets, minlength=_BUCKETS)
-    bar = max(LEAST, int(np.partition(counts, -limit)[-limit]))
-    places = np.flatnonzero((counts >= bar)[buckets] & (left != end_id))
-    pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
-    at = buckets[places]
-    chosen = np.zeros(_BUCKETS, np.uint64)
-    chosen[at[::-1]] = pairs[::-1]
-    same = chosen[at] == pairs
-    places, at = places[same], at[same]
-    often = np.bincount(at, minlength=_BUCKETS)
-    best = np.flatnonzero(often >= LEAST)
-    best = best[np.lexsort((chosen[best], -often[best]))][:limit]
-    number = np.full(_BUCKETS, -1, np.int64)
-    number[best] = np.arange(len(best))
-    numbers = number[at]
-    return chosen[best], np.stack([places[numbers >= 0], numbers[numbers >= 0]])
+    bar = max(LEAST, int(np.partition(counts, -limit)[-limit])) if limit < _BUCKETS else LEAST
+    while True:
+        places = np.flatnonzero((counts >= bar)[buckets] & (left != end_id))
+        pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
+        distinct, number, often = np.unique(pairs, return_inverse=True, return_counts=True)
+        best = np.flatnonzero(often >= LEAST)
+        if len(best) or bar == LEAST:
+            break
+        bar = LEAST
+    best = best[np.argsort(-often[best], kind="stable")][:limit]
+    place_of = np.full(len(distinct), -1, np.int64)
+    place_of[best] = np.arange(len(best))
+    numbers = place_of[number]
+    return distinct[best], np.stack([places[numbers >= 0], numbers[numbers >= 0]])
 
 
 def compress(ids: np.ndarray, vocabulary: int, end_id: int) -> Grammar:
-    """Replace the most frequent pairs of neighbours by new symbols, in rounds.
+    """Replace the most frequent pairs of neighbours by new symbols, in rounds, until
+    no pair is found in LEAST places.
 
     `vocabulary` is more than any id.  Of overlapping places the first is
     replaced.  A symbol never reaches over the end of a document."""
     symbols = ids.astype(np.uint32)
     lengths = np.ones(vocabulary, np.int64)
     sides: list[np.ndarray] = []
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pairs, (places, numbers) = _frequent_pairs(symbols, end_id, RULES_PER_ROUND)
+    limit = FIRST_RULES
+    while len(symbols) > 1:
+        pairs, (places, numbers) = _frequent_pairs(symbols, end_id, limit)
         if not len(pairs):
             break
+        limit *= 2
         follows = np.zeros(len(places), bool)
         follows[1:] = places[1:] == places[:-1] + 1
         runs = np.flatnonzero(~follows)
