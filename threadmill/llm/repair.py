@@ -38,20 +38,29 @@ def _frequent_pairs(symbols: np.ndarray, end_id: int, limit: int) -> tuple[np.nd
     """(up to `limit` of the most frequent pairs, and two rows: the places of all
     of them, and which pair each is).  No pair starts with the end of a document.
 
-    Places are counted by a hash of the pair, and exactly for the frequent hashes."""
+    Places are counted by a hash of the pair; of the pairs that share a frequent hash
+    the first one is taken, and counted.  Where that finds few, all pairs with a
+    frequent hash are counted, so none is missed in the end."""
     left, right = symbols[:-1], symbols[1:]
     buckets = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
     counts = np.bincount(buckets, minlength=_BUCKETS)
     bar = max(LEAST, int(np.partition(counts, -limit)[-limit])) if limit < _BUCKETS else LEAST
-    while True:
-        places = np.flatnonzero((counts >= bar)[buckets] & (left != end_id))
+    places = np.flatnonzero((counts >= bar)[buckets] & (left != end_id))
+    pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
+    at = buckets[places]
+    chosen = np.zeros(_BUCKETS, np.uint64)
+    chosen[at[::-1]] = pairs[::-1]
+    same = chosen[at] == pairs
+    number, distinct = at[same], chosen
+    often = np.bincount(number, minlength=_BUCKETS)
+    if np.count_nonzero(often >= LEAST) >= FIRST_RULES:
+        places = places[same]
+    else:
+        places = np.flatnonzero((counts >= LEAST)[buckets] & (left != end_id))
         pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
         distinct, number, often = np.unique(pairs, return_inverse=True, return_counts=True)
-        best = np.flatnonzero(often >= LEAST)
-        if len(best) or bar == LEAST:
-            break
-        bar = LEAST
-    best = best[np.argsort(-often[best], kind="stable")][:limit]
+    best = np.flatnonzero(often >= LEAST)
+    best = best[np.lexsort((distinct[best], -often[best]))][:limit]
     place_of = np.full(len(distinct), -1, np.int64)
     place_of[best] = np.arange(len(best))
     numbers = place_of[number]
