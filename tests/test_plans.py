@@ -8,7 +8,7 @@ import pytest
 
 from __spark_entry__ import entry, queries
 from threadmill.operators import filters
-from threadmill.operators.upsert import merge_sources, upsert_changes
+from threadmill.operators.upsert import merge_sources, upsert_changes, upsert_snapshot
 from threadmill.sinks.exports import jsonl_rows
 from threadmill.testing import fixtures as fx
 from threadmill.testing.queries import QUERIES
@@ -81,6 +81,25 @@ def test_small_increment_does_not_shuffle_the_table(spark, sf_dir, tmp_path):
     assert "SortMergeJoin" not in final and "BroadcastHashJoin" in final
 
 
+def test_large_increment_shuffles_the_table_once(spark, sf_dir, tmp_path):
+    from threadmill.operators.dedupe import dedupe_min_id
+
+    path = str(tmp_path / "stored")
+    dedupe_min_id(fx.msgs(spark, sf_dir)).write.parquet(path)
+    table, staged = spark.read.parquet(path), fx.msgs(spark, sf_dir)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The increment, its keys and the table; for the new keys once more the increment, and keys of both.
+        for upserted, exchanges in ((upsert_changes(table, staged), 3), (upsert_snapshot(table, staged), 5)):
+            text = plan(upserted)
+            scans = [at for at in text.split("\n") if "FileScan" in at and "/stored" in at]
+            assert sum("text:string" in at for at in scans) == 1
+            assert text.count("Exchange hashpartitioning") == exchanges
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_cleaning_happens_once_per_row(spark, sf_dir):
     text = plan(jsonl_rows(fx.msgs(spark, sf_dir), min_chars=3, skip_hashtag_only=True))
     body = text.split("== Initial Plan ==")[0]

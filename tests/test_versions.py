@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from threadmill.operators import upsert, versions
+from threadmill.operators.dedupe import dedupe_min_id
 from threadmill.operators.deletions import checkpoint_update, mark_deleted, missing_messages
 from threadmill.schema import COMPARED, KEY, MESSAGES
 
@@ -93,7 +94,7 @@ def test_merge_of_one_giant_key(spark):
     sources = frame(spark, rows)
     hot = versions.crowded_keys(sources, hot_rows=100)
     assert hot.count() == 2
-    folded = versions.fold_versions(sources, hot=hot, chunk_ids=37)
+    folded = versions.fold_versions(sources, hot=hot, ranges=37)
     assert as_table(folded) == expected_table(rows)
     events = one_by_one(rows)[1]
     counts = upsert.merge_counters(sources, hot_rows=100).first()
@@ -110,10 +111,21 @@ def test_both_ways_number_alike(spark):
     columns = [*KEY, "source_order", "id", "version_no", "takes_effect"]
     plain = versions.version_history(sources).select(*columns)
     hot = versions.crowded_keys(sources, hot_rows=30)
-    split = versions.version_history(sources, hot, chunk_ids=11).select(*columns)
+    split = versions.version_history(sources, hot, ranges=11).select(*columns)
     assert plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
 
 
+def test_crowded_increment_in_any_order(spark):
+    rows = frame(spark, random_versions(2500, 3, seed=11)).drop("source_order")
+    current, staged = rows.where("id % 50 = 0"), rows.where("id % 50 <> 0")
+    current = dedupe_min_id(current)
+    order = ("updated_at", "edit_date", "id")
+    whole = upsert.upsert_changes(current, staged, order)
+    split = upsert.upsert_changes(current, staged, order, hot_rows=100)
+    assert whole.count() > 0
+    assert whole.exceptAll(split).isEmpty() and split.exceptAll(whole).isEmpty()
+
+
 def test_upsert_kinds_and_replay(spark):
     def row(i, **changes):
         base = dict.fromkeys(COLUMNS)

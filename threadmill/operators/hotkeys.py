@@ -12,21 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.sinks.shared import settled
+
 # A key with fewer rows is an ordinary one.
 HOT_ROWS = 1_000_000
 
-# At most this many keys are split.  By then every other key holds less than
-# 1/20,000 of the rows, an ordinary task's share.  It also bounds the broadcast.
-MAX_HOT_KEYS = 20_000
-
 # Rows of a hot key that are enough to recognise it.
 TELLING_ROWS = 1_000
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], identity: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """The largest keys with about `hot_rows` rows or more, at most MAX_HOT_KEYS.
+) -> DataFrame | None:
+    """All keys with about `hot_rows` rows or more; None if there are none.
 
     Counting every row of mostly unique keys would shuffle a good part of the
     table only to find a handful of keys.  So rows are first thinned out by a
@@ -34,21 +32,22 @@ def hot_keys(
     The hash depends on the row alone: the answer is the same however often,
     and in whatever order, the plan is evaluated.  It decides which branch a
     key takes, never what comes out.
+
+    Runs at once, over the key and identity columns.  The keys are at most one
+    in about `hot_rows` rows, and are written down, so Spark knows their size.
     """
     one_in = max(1, hot_rows // TELLING_ROWS)
     if one_in > 1:
         df = df.where(F.pmod(F.xxhash64(*keys, *identity), F.lit(one_in)) == 0)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = counts.where(F.col("_rows") >= hot_rows // one_in).orderBy(F.desc("_rows"), *keys)
-    return largest.limit(MAX_HOT_KEYS).select(*keys)
+    found = settled(counts.where(F.col("_rows") >= hot_rows // one_in).select(*keys))
+    return None if found.isEmpty() else found
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of the keys in `hot`, from :func:`hot_keys`).
 
-    The broadcast is bounded by MAX_HOT_KEYS.  Rows with a NULL key part match
-    nothing and stay with the ordinary ones.  Without hot keys, adaptive
-    execution removes both joins and the second branch altogether.
+    Spark broadcasts the keys if they are few and joins by key if not.  Rows with
+    a NULL key part match nothing and stay with the ordinary ones.
     """
-    few = F.broadcast(hot)
-    return df.join(few, list(keys), "left_anti"), df.join(few, list(keys), "left_semi")
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")

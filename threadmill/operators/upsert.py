@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions.identifiers import topic_or_none
+from threadmill.operators.filters import flag, row_changed
 from threadmill.operators.hotkeys import HOT_ROWS
-from threadmill.operators.versions import ORDER, crowded_keys, fold_versions
+from threadmill.operators.versions import crowded_keys, fold_versions
 from threadmill.schema import KEY, MESSAGES
 
 _COLUMNS = [f.name for f in MESSAGES]
+_REST = [c for c in _COLUMNS if c not in KEY]
 
 
 def _keyed(messages: DataFrame) -> DataFrame:
@@ -29,6 +31,49 @@ def known_rows(staged: DataFrame, current: DataFrame) -> DataFrame:
     return _keyed(staged).join(_keyed(current).select(*KEY), list(KEY), "left_semi")
 
 
+def _folded(staged: DataFrame, order: Sequence[str], hot_rows: int) -> DataFrame:
+    """The increment folded on its own: per key its surviving version as `new`, and
+    whether others took effect before (`more`)."""
+    extra = [c for c in order if c not in _COLUMNS]
+    rows = (
+        _keyed(staged)
+        .withColumns({"deleted": F.lit(0), "source_order": F.lit(1)})
+        .select(*_COLUMNS, "source_order", *extra)
+    )
+    folded = fold_versions(rows, ("source_order", *order), crowded_keys(rows, hot_rows))
+    return folded.select(*KEY, F.struct(*_REST).alias("new"), (F.col("effects") > 1).alias("more"))
+
+
+def _upserted(pairs: DataFrame) -> DataFrame:
+    """Rows of (key, `old`, `new`, `more`), either side of which may be missing, as
+    message columns and `change_type`.
+
+    The surviving version of the increment wins unless it alone took effect there
+    and says what the table says already.
+    """
+    kind = (
+        F.when(F.col("new").isNull(), "unchanged")
+        .when(F.col("old").isNull(), "insert")
+        .when(flag(F.col("old.deleted")), "revive")
+        .when(F.col("more") | row_changed("old", "new"), "update")
+        .otherwise("unchanged")
+    )
+    kept = F.col("change_type") == "unchanged"
+
+    def value(name: str):
+        if name in KEY:
+            return F.col(name)
+        if name == "id":
+            return F.when(F.col("old").isNotNull(), F.col("old.id")).otherwise(F.col("new.id")).alias(name)
+        return F.when(kept, F.col("old." + name)).otherwise(F.col("new." + name)).alias(name)
+
+    return pairs.withColumn("change_type", kind).select(*map(value, _COLUMNS), "change_type")
+
+
+def _as_old(current: DataFrame) -> DataFrame:
+    return _keyed(current).select(*KEY, F.struct(*_REST).alias("old"))
+
+
 def upsert_changes(
     current: DataFrame,
     staged: DataFrame,
@@ -40,30 +85,11 @@ def upsert_changes(
 
     `current` has one row per key.  `staged` may hold several versions of a
     key; they apply in `order`.  Only rows of `current` with a staged key are
-    shuffled when the staged keys are few enough for Spark to broadcast.
+    shuffled when the staged keys are few enough for Spark to broadcast, else the
+    table is shuffled once.  Keys with very many staged versions are split.
     """
-    staged = _keyed(staged)
-    touched = _keyed(current).join(staged.select(*KEY).distinct(), list(KEY), "left_semi")
-    versions = (
-        touched.select(*_COLUMNS, F.lit(0).alias("source_order"))
-        .unionByName(
-            staged.withColumn("deleted", F.lit(0))
-            .withColumn("source_order", F.lit(1))
-            .select(*_COLUMNS, "source_order", *(c for c in order if c not in _COLUMNS)),
-            allowMissingColumns=True,
-        )
-    )
-    order = ("source_order", *order)
-    # The table adds one version per key: looking at the increment is enough.
-    hot = crowded_keys(staged, hot_rows) if order == ORDER else None
-    folded = fold_versions(versions, order, hot)
-    kind = (
-        F.when(F.col("first_source") == 1, "insert")
-        .when(F.col("was_deleted"), "revive")
-        .when(F.col("effects") > 1, "update")
-        .otherwise("unchanged")
-    )
-    return folded.select(*_COLUMNS, kind.alias("change_type"))
+    touched = _as_old(current).join(_keyed(staged).select(*KEY).distinct(), list(KEY), "left_semi")
+    return _upserted(_folded(staged, order, hot_rows).join(touched, list(KEY), "left"))
 
 
 def upsert_snapshot(
@@ -72,9 +98,17 @@ def upsert_snapshot(
     order: Sequence[str] = ("id",),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The whole table after the upsert."""
-    untouched = new_rows(current, staged).select(*_COLUMNS)
-    return untouched.unionByName(upsert_changes(current, staged, order, hot_rows).select(*_COLUMNS))
+    """The whole table after the upsert.
+
+    Rows of the table are shuffled once, or not at all when the folded increment is
+    small enough to broadcast; finding the new keys reads the key columns again.
+    """
+    folded = _folded(staged, order, hot_rows)
+    table = _as_old(current).join(folded, list(KEY), "left")
+    known = _keyed(current).select(*KEY).join(folded.select(*KEY), list(KEY), "left_semi")
+    new = folded.join(known, list(KEY), "left_anti")
+    rows = table.unionByName(new, allowMissingColumns=True)
+    return _upserted(rows).select(*_COLUMNS)
 
 
 def apply_log(current: DataFrame, log: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ first itself.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +22,7 @@ from threadmill.operators.arrival import tie
 from threadmill.operators.filters import content, flag
 from threadmill.operators.hotkeys import HOT_ROWS, hot_keys, split_hot
 from threadmill.schema import KEY
-
-# Ids are unique within a source, so a chunk of a hot key has at most this many rows.
-CHUNK_IDS = 1_000_000
+from threadmill.sinks.shared import settled
 
 ORDER = ("source_order", "id")
 
@@ -43,37 +42,45 @@ def _in_order(versions: DataFrame, order: Sequence[str], keys: Sequence[str]) ->
     )
 
 
-def _in_chunks(versions: DataFrame, chunk_ids: int, keys: Sequence[str]) -> DataFrame:
-    """The same for hot keys: windows over (key, source, id range), then over
-    one summary row per chunk, which tells each chunk how many versions came
-    before it and what the last of them was."""
-    # A missing id sorts first, and so must its range.
-    id_range = F.coalesce(F.floor(F.col("id") / chunk_ids), F.lit(-(2**63)))
-    chunked = versions.withColumns({"_range": id_range, "_tie": tie(versions.columns)})
-    # Rows without an id are in the order of their hashes, and so are their pieces.
-    piece = F.when(F.col("id").isNull(), F.shiftright("_tie", 58)).otherwise(F.lit(0).cast("long"))
-    chunked = chunked.withColumn("_piece", piece)
-    chunk = [*keys, "source_order", "_range", "_piece"]
-    in_chunk = Window.partitionBy(*chunk).orderBy("id", "_tie")
-    over_chunks = Window.partitionBy(*keys).orderBy("source_order", "_range", "_piece")
-    rows = chunked.withColumns(
-        {"_no": F.row_number().over(in_chunk), "_before": F.lag(_state()).over(in_chunk)}
+def _in_ranges(
+    versions: DataFrame, order: Sequence[str], keys: Sequence[str], ranges: int | None
+) -> DataFrame:
+    """The same for hot keys, as a prefix scan over ranges of (key, order).
+
+    Rows are dealt to ranges that Spark cuts by what it sampled, so a giant key is
+    spread over many, whatever orders it.  The windows look within a range; each
+    range then learns from the last rows of those before it how many versions of
+    its first key came before, and what the last of them was.  Which range a row is
+    in is written down: a task that runs again could not change it.
+
+    Only rows equal in their order and all content stay together.
+    """
+    count = ranges or int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = versions.withColumn("_tie", tie(versions.columns))
+    dealt = settled(
+        tied.repartitionByRange(count, *keys, *order, "_tie").withColumn("_range", F.spark_partition_id())
     )
-    summary = (
-        chunked.groupBy(*chunk)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(_state(), F.struct("id", "_tie")).alias("_tail"))
-        .select(
-            *chunk,
-            F.sum("_rows").over(over_chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
-            F.lag("_tail").over(over_chunks).alias("_carried"),
-        )
+    in_range = Window.partitionBy(*keys, "_range").orderBy(*order, "_tie")
+    over_ranges = Window.partitionBy(*keys).orderBy("_range")
+    rows = dealt.withColumns(
+        {
+            "_no": F.row_number().over(in_range).cast("bigint"),
+            "_before": F.lag(_state()).over(in_range),
+            "_more": F.lead(F.lit(True)).over(in_range),
+        }
+    )
+    # One row per key and range.
+    tails = rows.where(F.col("_more").isNull()).select(
+        *keys,
+        "_range",
+        F.sum("_no").over(over_ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
+        F.lag(_state()).over(over_ranges).alias("_carried"),
     )
-    number = F.col("_no") + F.coalesce("_offset", F.lit(0))
     return (
-        rows.join(summary, chunk)
-        .withColumn("version_no", number)
+        rows.join(tails, [*keys, "_range"])
+        .withColumn("version_no", F.col("_no") + F.coalesce("_offset", F.lit(0)))
         .withColumn("previous", F.when(F.col("_no") == 1, F.col("_carried")).otherwise(F.col("_before")))
-        .drop("_range", "_piece", "_tie", "_no", "_before", "_offset", "_carried")
+        .drop("_range", "_tie", "_no", "_before", "_more", "_offset", "_carried")
     )
 
 
@@ -87,61 +94,58 @@ def _branches(
     versions: DataFrame,
     order: Sequence[str],
     hot: DataFrame | None,
-    chunk_ids: int,
+    ranges: int | None = None,
     keys: Sequence[str] = KEY,
 ) -> list[DataFrame]:
     versions = versions.withColumn("topic_id", topic_or_none(F.col("topic_id")))
     if hot is None:
         parts = [_in_order(versions, order, keys)]
     else:
-        if tuple(order) != ORDER:
-            raise ValueError(f"hot keys are split along {ORDER}")
         ordinary, crowded = split_hot(versions, keys, hot)
-        parts = [_in_order(ordinary, order, keys), _in_chunks(crowded, chunk_ids, keys)]
+        parts = [_in_order(ordinary, order, keys), _in_ranges(crowded, order, keys, ranges)]
     return [p.withColumn("takes_effect", _takes_effect()) for p in parts]
 
 
 def effects(versions: DataFrame, order: Sequence[str] = ORDER, keys: Sequence[str] = KEY) -> DataFrame:
     """Every version of ordinary keys with `version_no` and `takes_effect`."""
-    return _branches(versions, order, None, CHUNK_IDS, keys)[0].drop("previous")
+    return _branches(versions, order, None, keys=keys)[0].drop("previous")
 
 
 def crowded_keys(
     versions: DataFrame, hot_rows: int = HOT_ROWS, keys: Sequence[str] = KEY
-) -> DataFrame:
-    """Keys with very many versions; reads narrow columns only."""
+) -> DataFrame | None:
+    """Keys with very many versions, if any; reads narrow columns only, at once."""
     normal = versions.withColumn("topic_id", topic_or_none(F.col("topic_id")))
     telling = (*ORDER, "date", "edit_date", "updated_at", "sender_id")
     return hot_keys(normal, keys, [c for c in telling if c in versions.columns], hot_rows)
 
 
 def version_history(
-    versions: DataFrame, hot: DataFrame | None = None, chunk_ids: int = CHUNK_IDS
+    versions: DataFrame, hot: DataFrame | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Every version with its number and whether it takes effect.
 
-    `versions` has the message columns and `source_order`; `hot` is as in
-    :func:`fold_versions`.
+    `versions` has the message columns and `source_order`; `hot` and `ranges` are
+    as in :func:`fold_versions`.
     """
     hot = crowded_keys(versions) if hot is None else hot
-    ordinary, crowded = _branches(versions, ORDER, hot, chunk_ids)
-    return ordinary.unionByName(crowded).drop("previous")
+    return reduce(DataFrame.unionByName, _branches(versions, ORDER, hot, ranges)).drop("previous")
 
 
 def fold_versions(
     versions: DataFrame,
     order: Sequence[str] = ORDER,
     hot: DataFrame | None = None,
-    chunk_ids: int = CHUNK_IDS,
+    ranges: int | None = None,
     keys: Sequence[str] = KEY,
 ) -> DataFrame:
     """One row per key: the surviving version, plus `first_source`,
     `was_deleted` (the first version's flag), `versions` and `effects` (counts).
 
     Ordinary keys need one shuffle: the aggregation reuses the window's
-    partitioning and order.  Hot keys are aggregated partially before theirs.
-    Which those are says `hot`, from :func:`crowded_keys`; without it all keys
-    are ordinary, as in a micro-batch.
+    partitioning and order.  Hot keys, those in `hot` from :func:`crowded_keys`,
+    are cut into `ranges` (by default as many as a shuffle has partitions) and
+    aggregated partially before their last shuffle; without `hot` all are ordinary.
     """
     columns = [c for c in versions.columns if c not in (*keys, "source_order")]
     winner = F.struct(*(c for c in columns if c not in ("id", "deleted")), "version_no")
@@ -171,5 +175,4 @@ def fold_versions(
             )
         )
 
-    folded = [fold(p) for p in _branches(versions, order, hot, chunk_ids, keys)]
-    return folded[0] if len(folded) == 1 else folded[0].unionByName(folded[1])
+    return reduce(DataFrame.unionByName, map(fold, _branches(versions, order, hot, ranges, keys)))

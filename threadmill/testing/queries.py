@@ -518,9 +518,9 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def version_history_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with every key of two or more rows split into small chunks."""
+    """The same with every key of two or more rows split into small ranges."""
     c = fx.corpus(spark, sf_dir)
-    history = versions.version_history(c, versions.crowded_keys(c, hot_rows=2), chunk_ids=1500)
+    history = versions.version_history(c, versions.crowded_keys(c, hot_rows=2), ranges=40)
     return history.select(*_HISTORY)
 
 
