@@ -105,3 +105,26 @@ def test_cleaning_happens_once_per_row(spark, sf_dir):
     body = text.split("== Initial Plan ==")[0]
     # One cleaning is three replacements, of which two by pattern.
     assert body.count("regexp_replace(regexp_replace(") == 1
+
+
+def test_checkpoints_reach_the_scan(spark, tmp_path):
+    from threadmill.sources.raw import incremental_scan
+
+    path = str(tmp_path / "scanned")
+    rows = [(c, t, m) for c in ("a", "b", None) for t in (None, -1, 0, 7) for m in (None, 1, 5, 6, 9)]
+    spark.createDataFrame(rows, "chat_identifier string, topic_id bigint, message_id bigint").write.parquet(path)
+    ends = {("a", -1): 5, ("a", 7): 6, ("b", 0): 9, (None, -1): 9, ("b", None): 9, ("c", 7): 0}
+    checkpoints = spark.createDataFrame(
+        [(c, t, last) for (c, t), last in ends.items()],
+        "chat_identifier string, topic_id bigint, last_message_id bigint",
+    )
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    found = incremental_scan(spark.read.parquet(path), checkpoints)
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan(found), re.S).group(1)
+    for bound in ("GreaterThan(message_id,5)", "GreaterThan(message_id,6)", "GreaterThan(message_id,9)"):
+        assert bound in pushed, bound
+
+    normal = [(c, -1 if t is None else t, m) for c, t, m in rows if m is not None]
+    expected = [r for r in normal if r[2] > (ends.get(r[:2], 0) if r[0] else 0)]
+    key = str
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key)

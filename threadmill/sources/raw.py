@@ -9,6 +9,9 @@ from threadmill.functions.identifiers import export_chat_name, export_chat_topic
 from threadmill.operators.filters import since
 from threadmill.schema import LANDED, NO_TOPIC, SCOPE
 
+# So many checkpoints become conditions of the file scan.
+PUSHED_SCOPES = 64
+
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed JSON lines, with the schema given, so that nothing is inferred."""
@@ -65,6 +68,28 @@ def in_thread(raw: DataFrame, topic_id: int | None) -> DataFrame:
     return raw.where(F.col("reply_to_msg_id") == topic_id)
 
 
+def above_checkpoints(messages: DataFrame, checkpoints: DataFrame, most: int = PUSHED_SCOPES) -> DataFrame:
+    """`messages` without rows at or below the checkpoint of the `most` furthest scopes.
+
+    One plain condition per scope, which the file scan uses to pass over row
+    groups and files; ids grow with a chat, so these are the largest ones.  It
+    only spares reading: the join with all checkpoints decides.
+    """
+    known = checkpoints.where("last_message_id > 0 AND chat_identifier IS NOT NULL")
+    furthest = known.select(*SCOPE, "last_message_id").orderBy(
+        F.desc("last_message_id"), *SCOPE
+    ).limit(most)
+    for chat, topic, last in furthest.collect():
+        if topic is None:
+            continue  # no row equals it, as topics of rows are never NULL in the join
+        elsewhere = F.col("topic_id") != topic
+        # A missing topic is NO_TOPIC, so it lies in that scope and outside the others.
+        at = F.col("topic_id").isNotNull() & elsewhere if topic == NO_TOPIC else F.col("topic_id").isNull() | elsewhere
+        other_chat = F.col("chat_identifier").isNull() | (F.col("chat_identifier") != chat)
+        messages = messages.where(other_chat | at | (F.col("message_id") > last))
+    return messages
+
+
 def incremental_scan(
     messages: DataFrame, checkpoints: DataFrame | None = None, cutoff: object | None = None
 ) -> DataFrame:
@@ -72,14 +97,15 @@ def incremental_scan(
 
     Without a cutoff (backfill) only the checkpoint counts; without checkpoints
     too, it is a scan of the full history.  Late rows are cut by this plain
-    filter; an event-time watermark would drop other rows.
+    filter; an event-time watermark would drop other rows.  The checkpoints of
+    the largest scopes, read when this is called, reach the file scan.
     """
     if cutoff is not None:
         messages = since(messages, cutoff)
     if checkpoints is None:
         return messages
     last = checkpoints.select(*SCOPE, F.col("last_message_id").alias("_last"))
-    rows = messages.withColumn("topic_id", topic_or_none(F.col("topic_id")))
+    rows = above_checkpoints(messages, checkpoints).withColumn("topic_id", topic_or_none(F.col("topic_id")))
     return (
         rows.join(last, list(SCOPE), "left")
         .where(F.col("message_id") > F.coalesce("_last", F.lit(0)))
