@@ -15,7 +15,7 @@ from threadmill.operators.stats import chat_profile, listed_chats, table_stats
 from threadmill.plans.aggregate import aggregate_sources, merge_by_chat
 from threadmill.schema import MESSAGES
 from threadmill.sources.files import file_catalog, source_catalog
-from threadmill.sources.tables import multi_source_scan, read_source_folders, read_sources
+from threadmill.sources.tables import given_sources, multi_source_scan, read_source_folders, read_sources
 
 START = datetime(2024, 1, 1)
 
@@ -257,3 +257,18 @@ def test_file_and_source_catalogs(spark, tmp_path):
     assert (first.bytes, first.size_mb) == (1_572_864, 1.5)
     names = source_catalog(files.withColumnRenamed("name", "source_name"))
     assert [r.source_name for r in names.collect()] == ["a.db", "b.db"]
+
+
+def test_sources_without_rows_are_listed(spark):
+    df, tables = scanned(spark)
+    given = given_sources(spark, [*((n, p) for n, p, _ in tables), ("empty", "/p/empty")])
+    made = aggregate_sources(df, given=given)
+    assert {r.source_name: r.source_path for r in made.sources.collect()} == {
+        "one": "/p/1", "two": "/p/2", "empty": "/p/empty"
+    }
+    report = {r.source_name: r for r in quality.health_report(df, given).collect()}
+    empty = report.pop("empty")
+    assert (empty.status, empty.message_count, empty.earliest_date) == ("healthy", 0, None)
+    assert report == {r.source_name: r for r in quality.health_report(df).collect()}
+    nothing = quality.health_report(df.where("false"), given).collect()
+    assert {r.source_name: r.message_count for r in nothing} == {"one": 0, "two": 0, "empty": 0}

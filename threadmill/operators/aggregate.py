@@ -26,18 +26,22 @@ def kept_rows(sources: DataFrame, mode: str = "text", include_deleted: bool = Fa
 
 
 def posts(sources: DataFrame, mode: str = "text", include_deleted: bool = False) -> DataFrame:
-    """One row per hash: text, sender and `first_date` of the first row to
-    arrive (not the earliest), and the latest date.
+    """:func:`posts_of` the rows that count."""
+    return posts_of(kept_rows(sources, mode, include_deleted))
+
+
+def posts_of(kept: DataFrame) -> DataFrame:
+    """One row per hash of :func:`kept_rows`: text, sender and `first_date` of the
+    first row to arrive (not the earliest), and the latest date.
 
     `last_date` starts from the first row's date and only moves forward, so it
     stays NULL if that one is NULL.
     """
-    rows = kept_rows(sources, mode, include_deleted)
     arrived = F.struct("text", "date", "sender_id", "sender_username")
     return (
-        rows.groupBy("dedupe_hash")
+        kept.groupBy("dedupe_hash")
         .agg(
-            F.min_by(arrived, arrival(rows)).alias("first"), F.max("date").alias("latest")
+            F.min_by(arrived, arrival(kept)).alias("first"), F.max("date").alias("latest")
         )
         .select(
             "dedupe_hash",
@@ -51,14 +55,18 @@ def posts(sources: DataFrame, mode: str = "text", include_deleted: bool = False)
 
 
 def post_sources(sources: DataFrame, mode: str = "text", include_deleted: bool = False) -> DataFrame:
-    """Where each post was found; the first row per place gives the date.
+    """:func:`places_of` the rows that count."""
+    return places_of(kept_rows(sources, mode, include_deleted))
+
+
+def places_of(kept: DataFrame) -> DataFrame:
+    """Where each post of :func:`kept_rows` was found; the first row per place
+    gives the date.
 
     A row without chat or message id is never the same place as another one:
     such rows are not aggregated.
     """
-    rows = kept_rows(sources, mode, include_deleted).withColumn(
-        "topic_id", topic_or_none(F.col("topic_id"))
-    )
+    rows = kept.withColumn("topic_id", topic_or_none(F.col("topic_id")))
     nowhere = F.col("chat_identifier").isNull() | F.col("message_id").isNull()
     place = ["dedupe_hash", "source_name", "chat_identifier", "topic_id", "message_id"]
     found = rows.where(~nowhere).groupBy(*place).agg(F.min_by("date", arrival(rows)).alias("date"))
@@ -66,9 +74,15 @@ def post_sources(sources: DataFrame, mode: str = "text", include_deleted: bool =
     return found.unionByName(apart).select(F.col("dedupe_hash").alias("post_id"), *place[1:], "date")
 
 
-def source_register(sources: DataFrame) -> DataFrame:
-    """One row per source name; the first path given for it stays."""
-    return sources.groupBy("source_name").agg(
+def source_register(sources: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """One row per source name; the first path given for it stays.
+
+    `given` lists the sources (`source_name`, `source_path`, `source_order`), as
+    :func:`~threadmill.sources.tables.given_sources` does: those without rows are
+    registered too, and no row is read.
+    """
+    listed = (sources if given is None else given).select("source_name", "source_path", "source_order")
+    return listed.groupBy("source_name").agg(
         F.min_by("source_path", F.struct("source_order", "source_path")).alias("source_path")
     )
 
@@ -81,8 +95,18 @@ def aggregate_counters(
     digest = dedupe_hash(text, F.col("sender_id"), username, F.col("date"), mode)
     live = F.lit(True) if include_deleted else F.coalesce("deleted", F.lit(0)) == 0
     kept = live & has_words(F.col("text"))
-    return sources.select(F.when(kept, digest).alias("post")).agg(
-        F.count(F.lit(1)).alias("rows_read"),
+    return _counted(sources.select(F.when(kept, digest).alias("post"), F.lit(1).alias("read")))
+
+
+def counters_of(sources: DataFrame, kept: DataFrame) -> DataFrame:
+    """The same, where the rows kept have been hashed already: `sources` are only counted."""
+    read = sources.agg(F.count(F.lit(1)).alias("read")).select(F.lit(None).cast("string").alias("post"), "read")
+    return _counted(read.unionByName(kept.select(F.col("dedupe_hash").alias("post"), F.lit(0).alias("read"))))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.agg(
+        F.coalesce(F.sum("read"), F.lit(0)).alias("rows_read"),
         F.count("post").alias("rows_kept"),
         F.count_distinct("post").alias("unique_posts"),
     )

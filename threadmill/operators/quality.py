@@ -49,11 +49,12 @@ def broken_references(post_sources: DataFrame, posts: DataFrame, sources: DataFr
     )
 
 
-def health_report(sources: DataFrame) -> DataFrame:
+def health_report(sources: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """Per source: status, message count, date range and constraint violations.
 
     One pass: counting per key first finds the duplicates, and the rest of the
-    report is summed up from those counts.
+    report is summed up from those counts.  Sources that `given` lists by
+    `source_name` and that have no rows are healthy, with zero messages.
     """
     normal = sources.withColumn("topic_id", topic_or_none(F.col("topic_id")))
     incomplete = F.col("chat_identifier").isNull() | F.col("message_id").isNull() | F.col("date").isNull()
@@ -63,19 +64,20 @@ def health_report(sources: DataFrame) -> DataFrame:
         F.max("date").alias("latest"),
         F.count_if(incomplete).alias("nulls"),
     )
-    return (
-        by_key.groupBy("source_name")
-        .agg(
-            F.sum("rows").alias("message_count"),
-            F.min("earliest").alias("earliest_date"),
-            F.max("latest").alias("latest_date"),
-            F.sum("nulls").alias("incomplete_rows"),
-            F.count_if(F.col("rows") > 1).alias("duplicate_keys"),
-        )
-        .withColumn(
-            "status",
-            F.when((F.col("incomplete_rows") == 0) & (F.col("duplicate_keys") == 0), "healthy").otherwise(
-                "warning"
-            ),
-        )
+    report = by_key.groupBy("source_name").agg(
+        F.sum("rows").alias("message_count"),
+        F.min("earliest").alias("earliest_date"),
+        F.max("latest").alias("latest_date"),
+        F.sum("nulls").alias("incomplete_rows"),
+        F.count_if(F.col("rows") > 1).alias("duplicate_keys"),
+    )
+    if given is not None:
+        listed = given.select("source_name").distinct()
+        counts = ["message_count", "incomplete_rows", "duplicate_keys"]
+        report = report.join(listed, "source_name", "full_outer").fillna(0, counts)
+    return report.withColumn(
+        "status",
+        F.when((F.col("incomplete_rows") == 0) & (F.col("duplicate_keys") == 0), "healthy").otherwise(
+            "warning"
+        ),
     )

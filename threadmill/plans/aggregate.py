@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.operators.aggregate import (
-    aggregate_counters,
+    counters_of,
+    kept_rows,
     merge_groups,
-    post_sources,
-    posts,
+    places_of,
+    posts_of,
     source_register,
 )
 from threadmill.operators.versions import crowded_keys, fold_versions
@@ -21,7 +22,7 @@ from threadmill.sinks.shared import settled
 
 @dataclass(frozen=True)
 class Aggregate:
-    """Lazy tables of an aggregation."""
+    """Tables of an aggregation, lazy but for the rows they share."""
 
     posts: DataFrame
     sources: DataFrame
@@ -30,13 +31,19 @@ class Aggregate:
 
 
 def aggregate_sources(
-    sources: DataFrame, mode: str = "text", include_deleted: bool = False
+    sources: DataFrame,
+    mode: str = "text",
+    include_deleted: bool = False,
+    given: DataFrame | None = None,
 ) -> Aggregate:
+    """All tables from rows that are cleaned and hashed once, and written to the
+    shared folder.  `given` lists the sources, if some may have no rows."""
+    kept = settled(kept_rows(sources, mode, include_deleted))
     return Aggregate(
-        posts=posts(sources, mode, include_deleted),
-        sources=source_register(sources),
-        post_sources=post_sources(sources, mode, include_deleted),
-        counters=aggregate_counters(sources, mode, include_deleted),
+        posts=posts_of(kept),
+        sources=source_register(sources, given),
+        post_sources=places_of(kept),
+        counters=counters_of(sources, kept),
     )
 
 

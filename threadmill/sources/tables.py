@@ -46,6 +46,12 @@ def read_sources(spark: SparkSession, sources: Sequence[tuple[str, str]]) -> Dat
     return multi_source_scan([(n, p, spark.read.parquet(p)) for n, p in sources])
 
 
+def given_sources(spark: SparkSession, sources: Sequence[tuple[str, str]]) -> DataFrame:
+    """The list itself, numbered in the given order, whether or not a source has rows."""
+    rows = [(name, path, i) for i, (name, path) in enumerate(sources)]
+    return spark.createDataFrame(rows, "source_name string, source_path string, source_order int")
+
+
 def read_source_folders(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
     """The same from one folder per source, `<root>/source_name=<name>/`, as a
     single scan however many there are.

@@ -493,6 +493,15 @@ ORACLES["agg_sources"] = f"""WITH corpus AS ({CORPUS})
 SELECT source_name, source_path FROM corpus
 QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY source_order, id) = 1"""
 
+ORACLES["agg_sources_listed"] = ORACLES["agg_sources"]
+
+ORACLES["agg_shared"] = f"""WITH corpus AS ({CORPUS}), {posts("text+sender")},
+places AS (SELECT dedupe_hash, count(*) AS places FROM (
+ SELECT DISTINCT {digest(norm("text"), "text+sender", "")} AS dedupe_hash, source_name, chat_identifier,
+  coalesce(topic_id, -1) AS topic_id, message_id
+ FROM corpus WHERE coalesce(deleted, 0) = 0 AND {norm("text")} <> '') GROUP BY dedupe_hash)
+SELECT * FROM posts JOIN places USING (dedupe_hash)"""
+
 ORACLES["agg_counters"] = f"""WITH corpus AS ({CORPUS}),
 flagged AS (SELECT coalesce(deleted, 0) = 0 AND {norm("text")} <> '' AS kept, {norm("text")} AS normal
  FROM corpus)
@@ -579,6 +588,10 @@ SELECT r.*, coalesce(d.duplicate_keys, 0) AS duplicate_keys,
   AS status
 FROM report AS r LEFT JOIN duplicates AS d USING (source_name)"""
 
+ORACLES["health_report_listed"] = f"""WITH whole AS ({ORACLES["health_report"]}),
+rows AS (SELECT * FROM whole WHERE source_name <> 'chat_1')
+SELECT * FROM rows UNION ALL SELECT 'chat_1', 0, NULL, NULL, 0, 0, 'healthy'"""
+
 ORACLES["schema_upgrade"] = f"""WITH {KEYED}
 SELECT * EXCLUDE (source_order, source_name, source_path) REPLACE (CAST(NULL AS TIMESTAMP) AS edit_date,
  0 AS deleted, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS BIGINT) AS chat_id) FROM keyed"""

@@ -29,10 +29,10 @@ from threadmill.operators import (
     upsert,
     versions,
 )
-from threadmill.plans.aggregate import merge_by_chat
+from threadmill.plans.aggregate import aggregate_sources, merge_by_chat
 from threadmill.plans.sync import SyncRun, sync_store, sync_run
 from threadmill.sinks import exports
-from threadmill.sinks.shared import scratch_path
+from threadmill.sinks.shared import scratch_path, settled
 from threadmill.sinks.store import MessageStore
 from threadmill.sources import files, raw, tables
 from threadmill.streaming.ingest import stream_upsert as start_upsert
@@ -676,6 +676,24 @@ def agg_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.source_register(fx.corpus(spark, sf_dir))
 
 
+@query
+def agg_sources_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One source of the list has no rows.
+    c = fx.corpus(spark, sf_dir)
+    listed = c.select("source_name", "source_path", "source_order").distinct()
+    return aggregate.source_register(c.where("source_name <> 'chat_1'"), listed)
+
+
+@query
+def agg_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts and the number of their places, from rows that are hashed once."""
+    made = aggregate_sources(fx.corpus(spark, sf_dir), "text+sender")
+    places = made.post_sources.groupBy(F.col("post_id").alias("dedupe_hash")).agg(
+        F.count(F.lit(1)).alias("places")
+    )
+    return made.posts.join(places, "dedupe_hash")
+
+
 @query
 def agg_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.aggregate_counters(fx.corpus(spark, sf_dir))
@@ -796,11 +814,12 @@ def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Places of deleted posts, of which the posts table knows nothing.
+    # Places of deleted posts, of which the posts table knows nothing.  Texts are hashed once.
     c = fx.corpus(spark, sf_dir)
+    kept = settled(aggregate.kept_rows(c, include_deleted=True))
     return quality.broken_references(
-        aggregate.post_sources(c, include_deleted=True),
-        aggregate.posts(c),
+        aggregate.places_of(kept),
+        aggregate.posts_of(filters.visible(kept, include_service=True)),
         aggregate.source_register(c.where("source_name <> 'chat_1'")),
     )
 
@@ -810,6 +829,13 @@ def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.health_report(fx.corpus(spark, sf_dir))
 
 
+@query
+def health_report_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One source of the list has no rows.
+    c = fx.corpus(spark, sf_dir)
+    return quality.health_report(c.where("source_name <> 'chat_1'"), c.select("source_name"))
+
+
 @query
 def schema_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = fx.msgs(spark, sf_dir).drop("edit_date", "deleted", "updated_at", "chat_id")
