@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threadmill.llm.chats import best_paths, conversation_digests, format_conversations, parse_part
+from threadmill.llm.chats import best_paths, chains, conversation_digests, format_conversations, parse_part
 from threadmill.llm.common import scratch_path
 from threadmill.llm.repair import LEAST, ShardFile, compress, shard_bytes
 from threadmill.llm.tokens import default_tokenizer, read_token_shards, token_ids, write_token_shards
@@ -163,6 +163,25 @@ def test_conversations(spark, sf_dir):
         assert got == _digests([tuple(r)[:4] for r in rows.collect()])
 
 
+def test_chains_number_a_long_conversation_by_ranges(spark):
+    """One conversation of most rows, equal turns, beginnings in common, and repeated rows."""
+    long = "x" * 300
+    rows = [(7, (i * 37) % 1000 if i % 50 else None, "ua"[i % 2], long + str(i % 9) if i % 3 else None) for i in range(4000)]
+    rows += [(None, 2, "u", "b"), (None, 1, "u", "a"), (8, None, None, None), (8, None, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    nodes = chains(table).collect()
+    assert len({n.node_id for n in nodes}) == len(rows)
+    by_tree = {t: sorted((n for n in nodes if n.tree_id == t), key=lambda n: n.node_id) for t in (7, 8, None)}
+
+    def low(*values):
+        return tuple((v is not None, v if v is not None else 0) for v in values)
+
+    for tree, found in by_tree.items():
+        expected = sorted((r[1:] for r in rows if r[0] == tree), key=lambda r: low(*r))
+        assert [(n.role, n.text) for n in found] == [r[1:] for r in expected]
+        assert [n.parent_id for n in found] == [None, *(n.node_id for n in found[:-1])]
+
+
 def test_control_strings_are_escaped(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<s>")]
     written = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()

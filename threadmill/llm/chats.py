@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import partitions, scratch_path, settled
+from threadmill.llm.common import partitions, running_totals, scratch_path, settled
 
 # Fixed values of the template.  A turn is OPEN, role, line feed, text, CLOSE,
 # line feed.  Texts and roles never contain OPEN, CLOSE or an instruction mark:
@@ -20,6 +20,7 @@ ESCAPES = (("\\", "\\\\"), ("<", "\\l"), ("[", "\\b"))
 _PLAIN = {"\\\\": "\\", "\\l": "<", "\\b": "["}
 LOSS_ROLE = "assistant"
 PART_TURNS = 256
+HEAD_CHARS = 256
 
 _TURN = re.compile(r"<s>([^\n<]*)\n([^<]*)</s>\n")
 
@@ -41,13 +42,21 @@ def chains(conversations: DataFrame) -> DataFrame:
 
     A row replies to the row before it by turn.  Equal turns are ordered by role
     and text, null turns come first.  Rows with a null conv_id form one tree.
-    Adds tree_id, node_id, parent_id and a score of 0."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    number = F.row_number().over(order).cast("long")
-    return conversations.select(
-        F.col("conv_id").alias("tree_id"),
-        number.alias("node_id"),
-        F.when(number > 1, number - 1).alias("parent_id"),
+    Adds tree_id, node_id (numbers grow along a tree), parent_id and a score of 0.
+
+    The whole table is numbered by ranges, so a conversation of any length uses
+    as many tasks as it fills; only its rows of one turn, with one role and one
+    beginning of the text, stay together."""
+    rows = conversations.select(
+        F.col("conv_id").alias("tree_id"), "turn", "role", "text", F.lit(1).cast("long").alias("_one")
+    )
+    order = [F.col("tree_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.substring("text", 1, HEAD_CHARS)]
+    numbered = running_totals(rows, order, "_one", [F.col("text")])
+    heads = numbered.groupBy("tree_id").agg(F.min("rank").alias("rank")).select("rank", F.lit(True).alias("_head"))
+    return numbered.join(heads, "rank", "left").select(
+        "tree_id",
+        F.col("rank").alias("node_id"),
+        F.when(F.col("_head").isNull(), F.col("rank") - 1).alias("parent_id"),
         "role",
         "text",
         F.lit(0.0).alias("score"),
@@ -62,8 +71,9 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     ancestor twice as far, the sum of the scores up to it and the distance; a
     tree of depth n takes log2(n) rounds.  A path's score is the mean of its
     nodes' scores, a null counting as 0; ties go to the longer path, then to the
-    smaller leaf.  Marking the chosen paths walks the same tables back.  No
-    task ever holds a path or a tree.
+    smaller leaf, and every task sends its best `paths` leaves of a tree at most.
+    Marking the chosen paths walks the same tables back.  No task ever holds a
+    path or a tree.
 
     A node whose parent is null or absent is a root; nodes on or below a cycle
     belong to no path.  (tree_id, node_id) is unique; null trees are a tree.
@@ -98,21 +108,10 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     parents = jumps[0].where("up IS NOT NULL").select(F.col("tree_id").alias("_tree"), F.col("up").alias("_node")).distinct()
     rooted = current.where("up IS NULL")
     leaves = rooted.join(parents, same & (F.col("node_id") == F.col("_node")), "left_anti")
-    ranked = leaves.groupBy("tree_id").agg(
-        F.slice(
-            F.sort_array(
-                F.collect_list(F.struct((F.col("sum") / F.col("n")).alias("s"), "n", (-F.col("node_id")).alias("leaf"))),
-                asc=False,
-            ),
-            1,
-            paths,
-        ).alias("best")
-    ) if paths > 1 else leaves.groupBy("tree_id").agg(
-        F.array(F.max(F.struct((F.col("sum") / F.col("n")).alias("s"), "n", (-F.col("node_id")).alias("leaf")))).alias("best")
-    )
+    best = Window.partitionBy("tree_id").orderBy((F.col("sum") / F.col("n")).desc(), F.desc("n"), "node_id")
     marked = settled(
-        ranked.select("tree_id", F.posexplode("best").alias("path", "b")).select(
-            "tree_id", (F.col("path") + 1).alias("path"), (-F.col("b.leaf")).alias("node_id")
+        leaves.withColumn("path", F.row_number().over(best)).where(F.col("path") <= paths).select(
+            "tree_id", "path", "node_id"
         )
     )
     for table in reversed(jumps[:-1]):

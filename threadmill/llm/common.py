@@ -43,7 +43,9 @@ def small_side(written: DataFrame, bytes_per_row: int = 64) -> DataFrame:
     return F.broadcast(written) if written.count() <= few else written.hint("merge")
 
 
-def running_totals(rows: DataFrame, order: Sequence[Column], value: str) -> DataFrame:
+def running_totals(
+    rows: DataFrame, order: Sequence[Column], value: str, within: Sequence[Column] = ()
+) -> DataFrame:
     """`rows` with `offset`, the sum of `value` over the rows before, and
     `rank`, their number, in the given order.
 
@@ -51,10 +53,14 @@ def running_totals(rows: DataFrame, order: Sequence[Column], value: str) -> Data
     on its own, and ranges start at the sum of those before.  One task sees one
     range or one row per range, however many rows compare equal: an arbitrary
     number per row, fixed once the ranges are written, splits these too.
+
+    With `within`, rows that are equal in `order` follow by these columns, stay in
+    one range, and the ranges are cut without looking at them: for columns too
+    long to be sampled.
     """
     spark = rows.sparkSession
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())
-    ranges = tied.repartitionByRange(partitions(spark), *order, F.col("_tie"))
+    ranges = tied.repartitionByRange(partitions(spark), *order, *([] if within else [F.col("_tie")]))
     dealt = settled(ranges.withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
@@ -65,7 +71,7 @@ def running_totals(rows: DataFrame, order: Sequence[Column], value: str) -> Data
             F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         )
     )
-    inside = Window.partitionBy("_range").orderBy(*order, "_tie")
+    inside = Window.partitionBy("_range").orderBy(*order, *within, "_tie")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumns(
         {"_upto": F.sum(value).over(so_far), "_number": F.row_number().over(inside)}
