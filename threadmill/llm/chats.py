@@ -67,9 +67,9 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """The `paths` best root-to-leaf paths of each tree of `nodes` (tree_id,
     node_id, parent_id, score): tree_id, path (1 is the best), depth, node_id.
 
-    Each round joins the table of pointers with itself, so that a node knows an
-    ancestor twice as far, the sum of the scores up to it and the distance; a
-    tree of depth n takes log2(n) rounds.  A path's score is the mean of its
+    Each round joins the pointers of nodes that do not know their root yet with the
+    whole table, so that a node knows an ancestor twice as far, the sum of the
+    scores up to it and the distance; a tree of depth n takes log2(n) rounds.  A path's score is the mean of its
     nodes' scores, a null counting as 0; ties go to the longer path, then to the
     smaller leaf, and every task sends its best `paths` leaves of a tree at most.
     Marking the chosen paths walks the same tables back.  No task ever holds a
@@ -82,31 +82,33 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     present = keys.select(F.col("tree_id").alias("_tree"), F.col("node_id").alias("_node"))
     same = F.col("tree_id").eqNullSafe(F.col("_tree"))
     linked = keys.join(present, same & (F.col("parent_id") == F.col("_node")), "left")
-    current = settled(
+    level = settled(
         linked.select("tree_id", "node_id", F.col("_node").alias("up"), F.col("score").alias("sum"), F.lit(1).alias("n"))
     )
-    jumps = [current]
-    limit = max(int(current.count()), 1).bit_length() + 1
-    while len(jumps) <= limit and not current.where("up IS NOT NULL").isEmpty():
-        far = current.select(
+    rooted, jumps = level.where("up IS NULL"), []
+    limit = max(int(level.count()), 1).bit_length() + 1
+    climbing = links = level.where("up IS NOT NULL")
+    while len(jumps) <= limit and not climbing.isEmpty():
+        jumps.append(climbing)
+        far = rooted.unionByName(climbing).select(
             F.col("tree_id").alias("_tree"),
             F.col("node_id").alias("_node"),
             F.col("up").alias("_up"),
             F.col("sum").alias("_sum"),
             F.col("n").alias("_n"),
         )
-        current = settled(
-            current.join(far, same & (F.col("up") == F.col("_node")), "left").select(
+        level = settled(
+            climbing.join(far, same & (F.col("up") == F.col("_node"))).select(
                 "tree_id",
                 "node_id",
                 F.col("_up").alias("up"),
-                (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-                (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
+                (F.col("sum") + F.col("_sum")).alias("sum"),
+                (F.col("n") + F.col("_n")).alias("n"),
             )
         )
-        jumps.append(current)
-    parents = jumps[0].where("up IS NOT NULL").select(F.col("tree_id").alias("_tree"), F.col("up").alias("_node")).distinct()
-    rooted = current.where("up IS NULL")
+        rooted = rooted.unionByName(level.where("up IS NULL"))
+        climbing = level.where("up IS NOT NULL")
+    parents = links.select(F.col("tree_id").alias("_tree"), F.col("up").alias("_node")).distinct()
     leaves = rooted.join(parents, same & (F.col("node_id") == F.col("_node")), "left_anti")
     best = Window.partitionBy("tree_id").orderBy((F.col("sum") / F.col("n")).desc(), F.desc("n"), "node_id")
     marked = settled(
@@ -114,8 +116,8 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
             "tree_id", "path", "node_id"
         )
     )
-    for table in reversed(jumps[:-1]):
-        ups = table.where("up IS NOT NULL").select(
+    for table in reversed(jumps):
+        ups = table.select(
             F.col("tree_id").alias("_tree"), F.col("node_id").alias("_node"), F.col("up").alias("_up")
         )
         more = marked.join(ups, same & (F.col("node_id") == F.col("_node"))).select(
