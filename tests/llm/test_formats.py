@@ -38,6 +38,14 @@ def test_repair_round_trip(docs):
     assert shard.documents(0, len(docs)).tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("doc", [[5], [5, 6, 7], []])
+def test_rules_end_with_their_document(doc):
+    docs = [[*doc, 2], [8, *doc, 2]] * 200 + [[*doc, 2]] * 200
+    ids, counts = np.concatenate(docs).astype(np.uint32), np.array([len(d) for d in docs])
+    shard = ShardFile(pa.BufferReader(b"".join(shard_bytes(list(range(600)), counts, ids, 100, 2))))
+    assert [shard.document(i).tolist() for i in range(600)] == docs
+
+
 def test_repair_compresses():
     ids = np.append(np.tile(np.arange(10, 20, dtype=np.uint32), 5000), 2)
     shard = ShardFile(pa.BufferReader(b"".join(shard_bytes([1], np.array([len(ids)]), ids, 100, 2))))

@@ -34,9 +34,10 @@ class Grammar:
     first: int
 
 
-def _frequent_pairs(symbols: np.ndarray, end_id: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent_pairs(symbols: np.ndarray, closes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(up to `limit` of the most frequent pairs, and two rows: the places of all
-    of them, and which pair each is).  No pair starts with the end of a document.
+    of them, and which pair each is).  No pair starts with a symbol that ends a
+    document (`closes`).
 
     Places are counted by a hash of the pair; of the pairs that share a frequent hash
     the first one is taken, and counted.  Where that finds few, all pairs with a
@@ -45,7 +46,8 @@ def _frequent_pairs(symbols: np.ndarray, end_id: int, limit: int) -> tuple[np.nd
     buckets = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
     counts = np.bincount(buckets, minlength=_BUCKETS)
     bar = max(LEAST, int(np.partition(counts, -limit)[-limit])) if limit < _BUCKETS else LEAST
-    places = np.flatnonzero((counts >= bar)[buckets] & (left != end_id))
+    open_ = ~closes[left]
+    places = np.flatnonzero((counts >= bar)[buckets] & open_)
     pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
     at = buckets[places]
     chosen = np.zeros(_BUCKETS, np.uint64)
@@ -56,7 +58,7 @@ def _frequent_pairs(symbols: np.ndarray, end_id: int, limit: int) -> tuple[np.nd
     if np.count_nonzero(often >= LEAST) >= FIRST_RULES:
         places = places[same]
     else:
-        places = np.flatnonzero((counts >= LEAST)[buckets] & (left != end_id))
+        places = np.flatnonzero((counts >= LEAST)[buckets] & open_)
         pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
         distinct, number, often = np.unique(pairs, return_inverse=True, return_counts=True)
     best = np.flatnonzero(often >= LEAST)
@@ -75,10 +77,11 @@ def compress(ids: np.ndarray, vocabulary: int, end_id: int) -> Grammar:
     replaced.  A symbol never reaches over the end of a document."""
     symbols = ids.astype(np.uint32)
     lengths = np.ones(vocabulary, np.int64)
+    closes = np.arange(vocabulary) == end_id
     sides: list[np.ndarray] = []
     limit = FIRST_RULES
     while len(symbols) > 1:
-        pairs, (places, numbers) = _frequent_pairs(symbols, end_id, limit)
+        pairs, (places, numbers) = _frequent_pairs(symbols, closes, limit)
         if not len(pairs):
             break
         limit *= 2
@@ -95,6 +98,7 @@ def compress(ids: np.ndarray, vocabulary: int, end_id: int) -> Grammar:
         symbols = symbols[keep]
         sides.append(np.stack([left, right]))
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
+        closes = np.concatenate([closes, closes[right]])
     left, right = np.concatenate(sides, axis=1) if sides else np.zeros((2, 0), np.int64)
     return Grammar(symbols, left, right, lengths[vocabulary:], vocabulary)
 
