@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter
@@ -46,6 +47,16 @@ def test_rules_end_with_their_document(doc):
     assert [shard.document(i).tolist() for i in range(600)] == docs
 
 
+@pytest.mark.parametrize("distinct", [1, 1_000, 40_000])
+def test_rules_take_little_memory(distinct):
+    ids = np.random.default_rng(distinct).integers(3, 3 + distinct, 1 << 21).astype(np.uint32)
+    tracemalloc.start()
+    compress(ids, 50_000, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(ids)
+
+
 def test_repair_compresses():
     ids = np.append(np.tile(np.arange(10, 20, dtype=np.uint32), 5000), 2)
     shard = ShardFile(pa.BufferReader(b"".join(shard_bytes([1], np.array([len(ids)]), ids, 100, 2))))

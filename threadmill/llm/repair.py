@@ -23,6 +23,7 @@ LEAST = 8
 # So many rules are made in the first round, twice as many in each further one.
 FIRST_RULES = 2048
 _BUCKETS = 1 << 20
+_AT_ONCE = 1 << 19
 
 
 @dataclass
@@ -34,39 +35,83 @@ class Grammar:
     first: int
 
 
-def _frequent_pairs(symbols: np.ndarray, closes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(up to `limit` of the most frequent pairs, and two rows: the places of all
-    of them, and which pair each is).  No pair starts with a symbol that ends a
-    document (`closes`).
+def _slices(n: int) -> list[slice]:
+    return [slice(i, i + _AT_ONCE) for i in range(0, n, _AT_ONCE)]
+
+
+def _counted(numbers: np.ndarray) -> np.ndarray:
+    counts = np.zeros(_BUCKETS, np.int64)
+    for part in _slices(len(numbers)):
+        counts += np.bincount(numbers[part], minlength=_BUCKETS)
+    return counts
+
+
+def _pairs_at(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    pairs = symbols[places].astype(np.uint64)
+    pairs <<= np.uint64(32)
+    pairs |= symbols[places + 1]
+    return pairs
+
+
+def _by_bucket(
+    symbols: np.ndarray, buckets: np.ndarray, often: np.ndarray, closes: np.ndarray, others: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the buckets that are counted `often`: the first pair of each, its places and
+    their buckets; and, with `others`, the places of all other pairs there."""
+    first = np.zeros(_BUCKETS, np.uint64)
+    places = [np.zeros(0, np.int32)]
+    for part in _slices(len(buckets)):
+        found = np.flatnonzero(often[buckets[part]] & ~closes[symbols[:-1][part]]) + part.start
+        places.append(found.astype(np.int32))
+    for found in reversed(places):
+        first[buckets[found[::-1]]] = _pairs_at(symbols, found[::-1])
+    firsts, numbers, rest = [], [], [np.zeros(0, np.int32)]
+    for found in places:
+        at = buckets[found]
+        same = first[at] == _pairs_at(symbols, found)
+        firsts.append(found[same])
+        numbers.append(at[same])
+        if others:
+            rest.append(found[~same])
+    return first, np.concatenate(firsts), np.concatenate(numbers), np.concatenate(rest)
+
+
+def _frequent_pairs(
+    symbols: np.ndarray, closes: np.ndarray, limit: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(up to `limit` of the most frequent pairs; the places of all of them, and which
+    pair each is).  No pair starts with a symbol that ends a document (`closes`).
 
     Places are counted by a hash of the pair; of the pairs that share a frequent hash
     the first one is taken, and counted.  Where that finds few, all pairs with a
-    frequent hash are counted, so none is missed in the end."""
-    left, right = symbols[:-1], symbols[1:]
-    buckets = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
-    counts = np.bincount(buckets, minlength=_BUCKETS)
+    frequent hash are counted, so none is missed in the end.  The passes are made in
+    slices: of the temporary arrays few are as long as the shard."""
+    buckets = symbols[1:] * np.uint32(0x85EBCA77)
+    for part in _slices(len(buckets)):
+        buckets[part] ^= symbols[:-1][part] * np.uint32(0x9E3779B1)
+    buckets >>= np.uint32(12)
+    counts = _counted(buckets)
     bar = max(LEAST, int(np.partition(counts, -limit)[-limit])) if limit < _BUCKETS else LEAST
-    open_ = ~closes[left]
-    places = np.flatnonzero((counts >= bar)[buckets] & open_)
-    pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
-    at = buckets[places]
-    chosen = np.zeros(_BUCKETS, np.uint64)
-    chosen[at[::-1]] = pairs[::-1]
-    same = chosen[at] == pairs
-    number, distinct = at[same], chosen
-    often = np.bincount(number, minlength=_BUCKETS)
-    if np.count_nonzero(often >= LEAST) >= FIRST_RULES:
-        places = places[same]
-    else:
-        places = np.flatnonzero((counts >= LEAST)[buckets] & open_)
-        pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
-        distinct, number, often = np.unique(pairs, return_inverse=True, return_counts=True)
+    distinct, places, numbers, rest = _by_bucket(symbols, buckets, counts >= bar, closes, False)
+    often = _counted(numbers)
+    if np.count_nonzero(often >= LEAST) < FIRST_RULES:
+        distinct, places, numbers, rest = _by_bucket(symbols, buckets, counts >= LEAST, closes, True)
+        often = _counted(numbers)
+    del buckets, counts
+    if len(rest):
+        more, number, count = np.unique(_pairs_at(symbols, rest), return_inverse=True, return_counts=True)
+        distinct, often = np.concatenate([distinct, more]), np.concatenate([often, count])
+        places = np.concatenate([places, rest])
+        numbers = np.concatenate([numbers, (_BUCKETS + number).astype(np.uint32)])
+        order = np.argsort(places, kind="stable")
+        places, numbers = places[order], numbers[order]
     best = np.flatnonzero(often >= LEAST)
     best = best[np.lexsort((distinct[best], -often[best]))][:limit]
-    place_of = np.full(len(distinct), -1, np.int64)
+    place_of = np.full(len(distinct), -1, np.int32)
     place_of[best] = np.arange(len(best))
-    numbers = place_of[number]
-    return distinct[best], np.stack([places[numbers >= 0], numbers[numbers >= 0]])
+    for_place = [place_of[numbers[part]] for part in _slices(len(numbers))]
+    numbers = np.concatenate([np.zeros(0, np.int32), *for_place])
+    return distinct[best], places[numbers >= 0], numbers[numbers >= 0]
 
 
 def compress(ids: np.ndarray, vocabulary: int, end_id: int) -> Grammar:
@@ -81,20 +126,21 @@ def compress(ids: np.ndarray, vocabulary: int, end_id: int) -> Grammar:
     sides: list[np.ndarray] = []
     limit = FIRST_RULES
     while len(symbols) > 1:
-        pairs, (places, numbers) = _frequent_pairs(symbols, closes, limit)
+        pairs, places, numbers = _frequent_pairs(symbols, closes, limit)
         if not len(pairs):
             break
         limit *= 2
-        follows = np.zeros(len(places), bool)
-        follows[1:] = places[1:] == places[:-1] + 1
-        runs = np.flatnonzero(~follows)
-        in_run = np.arange(len(places)) - np.repeat(runs, np.diff(np.append(runs, len(places))))
-        use = in_run % 2 == 0
+        # Where the run of neighbouring places starts that each is in.
+        run = places.copy()
+        run[1:][places[1:] == places[:-1] + 1] = 0
+        np.maximum.accumulate(run, out=run)
+        use = (places - run) % 2 == 0
         places, numbers = places[use], numbers[use]
         left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        symbols[places] = (len(lengths) + numbers).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
-        keep[places + 1] = False
+        for part in _slices(len(places)):
+            symbols[places[part]] = len(lengths) + numbers[part]
+            keep[places[part] + 1] = False
         symbols = symbols[keep]
         sides.append(np.stack([left, right]))
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])

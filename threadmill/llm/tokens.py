@@ -21,6 +21,7 @@ END_ID = 2
 SHARD_IDS = 1 << 22
 _CACHED_PIECES = 1_500_000
 _SLOTS = 1 << 20
+_RECENT = 1 << 16
 _TOGETHER = 50
 _DOCS_AT_ONCE = 256
 
@@ -34,6 +35,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """`array` with `values` at a place, made longer by half where it is too short."""
+    if at + len(values) > len(array):
+        longer = np.zeros((at + len(values)) * 3 // 2, array.dtype)
+        longer[:at] = array[:at]
+        array = longer
+    array[at : at + len(values)] = values
+    return array
+
+
+def _merged(*tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, numbers = (np.concatenate(columns) for columns in zip(*tables))
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], numbers[order]
+
+
 class WordEncoder:
     """Ids of texts from the ids of their pieces, each encoded once.
 
@@ -58,11 +75,14 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # Hashes, ascending, and the numbers of their pieces: all but the last ones learned, and these.
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
         self.keys = np.zeros(_SLOTS, np.uint64)
         self.values = np.full(_SLOTS, -1, np.int32)
+        # Piece i has the ids flat[starts[i] : starts[i + 1]]; both arrays have room to grow.
+        self.pieces = 0
         self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(1, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -90,25 +110,40 @@ class WordEncoder:
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         ids = self._ids(pieces)
-        first = len(self.starts) - 1
+        first, last = self.pieces, self.pieces + len(ids)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
-        self.known.update(zip(hashes.tolist(), range(first, first + len(ids))))
+        begin = int(self.starts[first])
+        ends = begin + np.cumsum(lengths)
+        self.starts = _put(self.starts, first + 1, ends)
+        self.flat = _put(self.flat, begin, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        self.pieces = last
+        most, recent = self.known
+        recent = _merged(recent, (hashes, np.arange(first, last, dtype=np.int32)))
+        if len(recent[0]) > _RECENT:
+            most, recent = _merged(most, recent), (recent[0][:0], recent[1][:0])
+        self.known = [most, recent]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.full(len(hashes), -1, np.int64)
+        for known, numbers in self.known:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                found = np.where(known[at] == hashes, numbers[at], found)
+        return found
 
     def _numbers(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each piece; most are found in a table of recent ones."""
-        if len(self.known) > _CACHED_PIECES:
+        if self.pieces > _CACHED_PIECES:
             self._forget()
         slots = hashes & np.uint64(_SLOTS - 1)
         numbers = np.where(self.keys[slots] == hashes, self.values[slots], -1).astype(np.int64)
         missed = np.flatnonzero(numbers < 0)
         if len(missed):
             distinct, places, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            found = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+            found = self._find(distinct)
             new = np.flatnonzero(found < 0)
             at = missed[places[new]]
-            found[new] = len(self.starts) - 1 + np.arange(len(new))
+            found[new] = self.pieces + np.arange(len(new))
             self._learn(distinct[new], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
             self.keys[distinct & np.uint64(_SLOTS - 1)] = distinct
             self.values[distinct & np.uint64(_SLOTS - 1)] = found
@@ -169,10 +204,12 @@ def write_token_shards(
         ids: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            pieces = shard_bytes(doc_ids, np.concatenate(counts), np.concatenate(ids), encoder.size, end_id)
+            whole = np.concatenate(ids)
+            ids.clear()
+            pieces = shard_bytes(doc_ids, np.concatenate(counts), whole, encoder.size, end_id)
             name = write_new(folder, f"tokens-{part:06d}-{number:05d}", ".rpr", pieces)
-            row = [[part], [number], [name], [len(doc_ids)], [sum(map(len, ids))]]
-            doc_ids.clear(), counts.clear(), ids.clear()
+            row = [[part], [number], [name], [len(doc_ids)], [len(whole)]]
+            doc_ids.clear(), counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(v) for v in row], ["part", "number", "name", "n_docs", "n_ids"])
 
         waiting = 0
