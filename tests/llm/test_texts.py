@@ -159,6 +159,29 @@ def test_jaccard_of_edited_copies(spark, lowered, monkeypatch):
     assert Counter(got) == Counter(expected)
 
 
+def test_jaccard_sends_texts_of_a_group_once(spark, lowered, monkeypatch):
+    """Of a group in which all pairs are compared, texts are not sent once per pair."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    sent, small_side = [], jaccard.small_side
+
+    def counting(written, *rest):
+        sent.append(written.count() if "_key" in written.columns else 0)
+        return small_side(written, *rest)
+
+    monkeypatch.setattr(jaccard, "small_side", counting)
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(150):
+        own = [f"b{i}" for i in range(160)]
+        for i in rng.choice(160, 6, replace=False):
+            own[i] = f"x{rng.integers(0, 25)}"
+        rows.append((d, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected, _ = _groups(docs.collect(), lowered)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(docs).collect()]
+    assert Counter(got) == Counter(expected) and sum(sent) < 4 * len(rows), sent
+
+
 @TABLES
 def test_one_document_stays(table, request, lowered):
     docs = request.getfixturevalue(table)

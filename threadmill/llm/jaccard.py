@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threadmill.llm.common import free_names, partitions, settled, small_side
 from threadmill.llm.components import components
 from threadmill.llm.hashcounts import frequent
-from threadmill.llm.words import chunks, distinct_sets, mix
+from threadmill.llm.words import chunks, distinct_sets, mix, ranges
 
 SHINGLE = 5
 PERCENT = 75
@@ -22,10 +22,18 @@ FREQUENT = 64
 # A combination takes two frequent tokens of the same one of n / GROUPING groups.
 GROUPING = 8
 MEMBERS_AT_ONCE = 128
+# Classes of one partner are cut into blocks of about so many; two blocks are a cell.
+BLOCK = 256
+TOKENS_AT_ONCE = 1 << 20
 
 _OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 _SETS = "doc_id long, text_key long, n int, cls long"
 _COMPARED = "a long, b long, shared long, n_a long, n_b long, linked boolean, extra array<long>"
+_COMPARED_FIELDS = [
+    *[(c, pa.int64()) for c in ("a", "b", "shared", "n_a", "n_b")],
+    ("linked", pa.bool_()),
+    ("extra", pa.list_(pa.int64())),
+]
 _POSTINGS = "sig long, cls long, n int, whole boolean"
 
 
@@ -158,64 +166,88 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shipped: Broadcast) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shipped: Broadcast, extras: bool = True) -> DataFrame:
     """The pairs (a, b) of classes compared by their texts: shared, the sizes
-    n_a and n_b, linked, and, where b has half of a's tokens or more, those of
-    the others (extra) that more than one document has.
+    n_a and n_b, linked, and, with `extras` and where b has half of a's tokens or more,
+    those of the others (extra) that more than one document has.
 
-    Members a of the same b are compared in groups of about MEMBERS_AT_ONCE, each
-    with a text of b of its own; some groups together are one task's table."""
+    Each pair lies in one `cell`; a text is sent to each cell of its class once, however many
+    pairs it is in there, with those a that it is to be compared to as b."""
     spark = docs.sparkSession
-    pairs = settled(pairs)
-    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).alias("groups"))
-    dealt = settled(
-        pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("g"))
-    )
-    buckets = max(2 * partitions(spark), dealt.count() // 400)
-    heads = dealt.select(F.col("b").alias("a"), "b", "g").distinct()
+    lists = settled(pairs.groupBy("cell", "b").agg(F.collect_set("a").alias("of")))
+    n_lists, n_pairs = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("of")), F.lit(0))).first()
+    buckets = max(2 * partitions(spark), n_pairs // 400)
+    nobody = F.array().cast("array<long>")
+    alone = lists.select("cell", F.explode("of").alias("cls"), nobody.alias("of"))
+    members = alone.unionByName(lists.withColumnRenamed("b", "cls")).groupBy("cell", "cls")
     # Places first, then texts: these are shuffled once, to where they are compared.
     placed = settled(
-        dealt.unionByName(heads)
-        .join(classes, F.col("a") == F.col("cls"))
-        .select("a", "b", "g", F.col("rep_id").alias("_id"), F.col("rep_key").alias("_key"))
+        members.agg(F.flatten(F.collect_set("of")).alias("of"))
+        .join(classes, "cls")
+        .select("cell", "cls", "of", F.col("rep_id").alias("_id"), F.col("rep_key").alias("_key"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    texts = _keyed(docs).join(small_side(placed), same).select("b", "g", "a", "text")
-    grouped = texts.withColumn("bucket", F.pmod(F.xxhash64("b", "g"), F.lit(buckets)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        b, g, a = (table.column(c).to_numpy() for c in ("b", "g", "a"))
-        _, group = np.unique(np.stack([b, g]), axis=1, return_inverse=True)
-        group = group.ravel()
-        head = np.full(group.max() + 1, -1)
-        head[group[a == b]] = np.flatnonzero(a == b)
+    row_bytes = 72 + 8 * n_pairs // max(n_lists, 1)
+    texts = _keyed(docs).join(small_side(placed, row_bytes), same).select("cell", "cls", "of", "text")
+    grouped = texts.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        # Rows of the same document, id and text, are the same row.
+        of = table.column("of").combine_chunks()
+        cell, cls = (table.column(c).to_numpy() for c in ("cell", "cls"))
+        places, first = np.unique(np.stack([cell, cls]), axis=1, return_index=True)
         hashes, sizes = [], []
         for chunk in chunks(table.column("text"), lower=True):
             some, bounds = distinct_sets(chunk, SHINGLE)
             hashes.append(some)
             sizes.append(np.diff(bounds))
         hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+        begin = np.cumsum(sizes) - sizes
+        counts = of.value_lengths().to_numpy()[first]
+        b = np.repeat(first, counts)
+        asked = of.take(pa.array(first)).flatten().to_numpy()
+        a = first[_rows_at(places, np.stack([cell[b], asked]))]
+        heads = np.zeros(len(cls), bool)
+        heads[b] = True
         row = np.repeat(np.arange(len(sizes)), sizes)
-        keys = mix(hashes ^ mix(group[row].astype(np.uint64) + np.uint64(1)))
-        known = np.sort(keys[head[group[row]] == row])
-        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        inside = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-        shared = np.bincount(row[inside], minlength=len(sizes))
-        n_b = sizes[head[group]]
-        linked = 100 * shared >= PERCENT * (sizes + n_b - shared)
-        kept = np.zeros(len(a), bool)
-        kept[np.unique(np.stack([group, a]), axis=1, return_index=True)[1]] = True
-        kept &= a != b
-        outside = ~inside & (kept & (2 * shared >= sizes))[row]
-        outside[outside] = shipped.value[0].has(hashes[outside])
-        ends = np.cumsum(np.bincount(row[outside], minlength=len(sizes)))
-        extra = pa.ListArray.from_arrays(
-            np.concatenate([[0], ends]).astype(np.int32), pa.array(hashes[outside].view(np.int64))
-        )
-        columns = {"a": a, "b": b, "shared": shared, "n_a": sizes, "n_b": n_b, "linked": linked, "extra": extra}
-        return pa.table(columns).filter(pa.array(kept))
-
-    return grouped.groupBy("bucket").applyInArrow(compare, _COMPARED)
+        known = np.sort(_in_row(hashes, row)[heads[row]])
+        cuts = np.searchsorted(np.cumsum(sizes[a]), np.arange(0, int(sizes[a].sum()), TOKENS_AT_ONCE))
+        cuts = np.unique(np.append(cuts, len(a)))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            x, y = a[low:high], b[low:high]
+            at, pair = ranges(begin[x], sizes[x])
+            keys = _in_row(hashes[at], y[pair])
+            found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            inside = known[found] == keys
+            shared = np.bincount(pair[inside], minlength=len(x))
+            linked = 100 * shared >= PERCENT * (sizes[x] + sizes[y] - shared)
+            outside = ~inside & (extras & (2 * shared >= sizes[x]))[pair]
+            outside[outside] = shipped.value[0].has(hashes[at[outside]])
+            ends = np.cumsum(np.bincount(pair[outside], minlength=len(x)))
+            extra = pa.ListArray.from_arrays(
+                np.concatenate([[0], ends]).astype(np.int32), pa.array(hashes[at[outside]].view(np.int64))
+            )
+            columns = [cls[x], cls[y], shared, sizes[x].astype(np.int64), sizes[y].astype(np.int64), linked]
+            names = ["a", "b", "shared", "n_a", "n_b", "linked", "extra"]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), extra], names)
+
+    def compared(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(compare(table)), pa.schema(_COMPARED_FIELDS))
+
+    return grouped.groupBy("bucket").applyInArrow(compared, _COMPARED)
+
+
+def _in_row(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ mix(rows.astype(np.uint64) + np.uint64(1)))
+
+
+def _rows_at(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which column of `places`, ascending and distinct, each column of `wanted` is."""
+    both, inverse = np.unique(np.concatenate([places, wanted], axis=1), axis=1, return_inverse=True)
+    inverse = inverse.ravel()
+    number = np.empty(both.shape[1], np.int64)
+    number[inverse[: places.shape[1]]] = np.arange(places.shape[1])
+    return number[inverse[places.shape[1] :]]
 
 
 def _enough() -> Column:
@@ -282,14 +314,27 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     partners = sets.select(*[F.col(c).alias(f"_{c}") for c in sets.columns])
     proposed = best.join(sets, "cls").join(partners, F.col("b") == F.col("_cls"))
     hopeful = ~(F.col("whole") & F.col("_whole")) | _enough()
-    first = settled(verified(docs, classes, proposed.where(hopeful).select(F.col("cls").alias("a"), "b"), shipped))
+    starred = settled(proposed.where(hopeful).select(F.col("cls").alias("a"), "b"))
+    members = starred.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).alias("groups"))
+    cell = F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("groups"))).alias("cell")
+    first = settled(verified(docs, classes, starred.join(members, "b").select("a", "b", cell), shipped))
     labels = settled(components(first.where("linked")))
     of_partner = first.select(F.col("a").alias("cls"), F.col("b").alias("p"), F.col("shared").alias("inside"))
     own = F.coalesce("component", "cls").alias("component")
+    blocks = of_partner.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    of_block = of_partner.join(blocks, "p").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     facts = settled(
-        sets.join(of_partner, "cls", "left")
+        sets.join(of_block, "cls", "left")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("cls", "n", "whole", own, F.coalesce("p", "cls").alias("p"), F.coalesce("inside", "n").alias("inside"))
+        .select(
+            "cls",
+            "n",
+            "whole",
+            own,
+            F.coalesce("p", "cls").alias("p"),
+            F.coalesce("inside", "n").alias("inside"),
+            F.xxhash64(F.coalesce("p", "cls"), F.coalesce("block", F.lit(0))).alias("block"),
+        )
     )
     marked = settled(shared.select("sig", "cls").join(facts, "cls"))
     mixed = marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
@@ -316,12 +361,12 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             F.first("n").alias("n"),
             F.first("_n").alias("_n"),
             F.first(F.col("whole") & F.col("_whole")).alias("whole"),
+            F.first(F.xxhash64("block", "_block")).alias("cell"),
         )
 
-    by_signature = pairs(rest, "sig", ~at_tokens).where(~F.col("whole") | _enough()).select("a", "b")
-    second = verified(
-        docs, classes, by_signature.unionByName(pairs(far, "token", at_tokens).select("a", "b")), shipped
-    )
+    by_signature = pairs(rest, "sig", ~at_tokens).where(~F.col("whole") | _enough()).select("a", "b", "cell")
+    by_token = pairs(far, "token", at_tokens).select("a", "b", "cell")
+    second = verified(docs, classes, by_signature.unionByName(by_token), shipped, extras=False)
     return first.unionByName(second).where("linked").select("a", "b")
 
 
