@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
@@ -185,6 +186,29 @@ def test_scans_are_pruned_by_places(spark, store):
     assert {r.chat_identifier for r in by_chat.collect()} >= {"c5"} and by_chat.count() < 900
 
 
+def folders(store, kind, part):
+    return len(list(Path(store.path, kind, f"part={part}").glob("chat_bucket=*/*")))
+
+
+def test_many_places_share_few_folders(spark, tmp_path):
+    store = MessageStore(spark, str(tmp_path / "wide"), buckets=2, ids_per_range=1).create()
+    store.write_base(table(spark, [row(i, 0, "x", f"c{i % 9}") for i in range(1500)]))
+    changed = [row(i, 1, "y", f"c{i % 9}") for i in range(700, 1600)]
+    batch = add(store, "w", 0, changed)
+    assert 0 < folders(store, "base", store.manifest.live()[0].parts[0]) < 512
+    assert 0 < folders(store, "log", batch.parts[0]) < 512
+    want = {(f"c{i % 9}", i): "x" if i < 700 else "y" for i in range(1600)}
+    assert texts(store) == want
+    # Fine places in blocks, and of different levels, are still read alone.
+    add(store, "w", 1, [row(-3, 1, "z", "c5")])
+    near = table(spark, [row(5, 0, "", "c5"), row(-3, 0, "", "c5"), row(800, 0, "", "c8")])
+    assert texts(store, near=near) == {("c5", 5): "x", ("c5", -3): "z", ("c8", 800): "y"}
+    fold = store.fold()
+    assert folders(store, "base", fold.parts[-1]) < 512
+    assert spark.read.parquet(f"{store.path}/base/part={fold.parts[-1]}").count() == 901
+    assert texts(store) == want | {("c5", -3): "z"}
+
+
 def test_columns(store):
     assert store.current().schema.names == MESSAGES.names
     assert store.state().select(*KEY, *EXPORT_COLUMNS[:1]).isEmpty()

@@ -1,9 +1,11 @@
 """A message table kept as Parquet: a base and a log of changes.
 
 Plain Parquet files cannot be updated in place.  The store has a base, one row
-per key, and for every batch the rows it changed, both partitioned by
-`chat_bucket` and `id_range`, so that a batch reads only the part of the table it
-touches.  :mod:`threadmill.sinks.manifest` says which batches count, and in what
+per key, and for every batch the rows it changed.  A row's place is its
+`chat_bucket` and `id_range`; a folder holds the places of a bucket in an
+`id_block`, one or neighbouring ones, so many that a part has few folders
+however many places there are.  So a batch reads only the part of the table it
+touches, and files stay large.  :mod:`threadmill.sinks.manifest` says which batches count, and in what
 order: readers see whole batches only, each batch of a writer counts once, and a
 batch that was computed from a table that changed meanwhile is refused.
 
@@ -33,7 +35,10 @@ from threadmill.sinks.manifest import Conflict, Entry, Manifest
 from threadmill.sinks.shared import settled
 
 PLACE = ["chat_bucket", "id_range"]
-_PARTITIONS = [T.StructField("chat_bucket", T.IntegerType()), T.StructField("id_range", T.LongType())]
+FOLDERS = ["chat_bucket", "id_block"]
+_RANGE = T.StructField("id_range", T.LongType())
+_BUCKET = T.StructField("chat_bucket", T.IntegerType())
+_BLOCK = T.StructField("id_block", T.LongType())
 _PART = T.StructField("part", T.StringType())
 _KIND = T.StructField("change_type", T.StringType())
 _RUN = T.ArrayType(
@@ -42,6 +47,12 @@ _RUN = T.ArrayType(
 _BEFORE = T.StructType([MESSAGES["updated_at"], MESSAGES["edit_date"], T.StructField("version", T.LongType())])
 ORDERED = [T.StructField("run", _RUN), T.StructField("before", _BEFORE)]
 
+# A block of level k is of 16**k ranges, cut at its multiples.
+LEVELS = 8
+# A part has at most about so many folders, or one for so many rows.
+MOST_FOLDERS = 512
+ROWS_PER_FOLDER = 1 << 18
+
 # So many batches in the log are folded into the base by those who write regularly.
 FOLD_AFTER = 16
 
@@ -60,6 +71,26 @@ def anchored(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: v for k, v in own.items() if k not in rows.columns})
 
 
+def _prunable(places: DataFrame) -> DataFrame:
+    """A written table.  The condition holds for every row; it marks the table as
+    worth pruning a scan by."""
+    return settled(places).where("chat_bucket >= 0")
+
+
+def _block(level: int) -> Column:
+    """The number of the block of this level, different from those of all other levels."""
+    return F.floor(F.col("id_range") / 16**level) * LEVELS + level
+
+
+def _level(places: DataFrame) -> int:
+    """The lowest level whose blocks make few folders of `places`, with `rows` if known."""
+    folders = [F.approx_count_distinct(F.xxhash64("chat_bucket", _block(k))) for k in range(LEVELS)]
+    rows = F.sum("rows") if "rows" in places.columns else F.lit(0)
+    n_rows, *counts = places.agg(rows, *folders).first()
+    most = max(MOST_FOLDERS, (n_rows or 0) // ROWS_PER_FOLDER)
+    return next((k for k, n in enumerate(counts) if n <= most), LEVELS - 1)
+
+
 @dataclass(frozen=True)
 class MessageStore:
     spark: SparkSession
@@ -104,28 +135,30 @@ class MessageStore:
         )
 
     def places(self, keys: DataFrame) -> DataFrame:
-        """The partitions in which `keys`, or all messages of its scopes, lie: a small
-        written table.  The condition holds for every row; it marks the table as
-        worth pruning a scan by."""
+        """The places in which `keys`, or all messages of its scopes, lie: a small
+        written table."""
         if "message_id" in keys.columns:
-            found = self._placed(keys.select(*KEY)).select(*PLACE)
-        else:
-            found = self._placed(keys.select("chat_identifier", F.lit(None).cast("long").alias("message_id"))).select(
-                "chat_bucket"
-            )
-        return settled(found.distinct()).where("chat_bucket >= 0")
+            return _prunable(self._placed(keys.select(*KEY)).select(*PLACE).distinct())
+        scopes = keys.select("chat_identifier", F.lit(None).cast("long").alias("message_id"))
+        return _prunable(self._placed(scopes).select("chat_bucket").distinct())
 
     # Reading
 
     def _read(self, kind: str, parts: Sequence[str], fields: Sequence[T.StructField], near: DataFrame | None) -> DataFrame:
         """The rows of some parts; with `near`, a table of places, those in these: a
-        join on the partition columns, by which Spark prunes the scan."""
-        schema = T.StructType([*fields, _PART, *_PARTITIONS])
+        join on the folders too, by which Spark prunes the scan."""
+        folders = [_BUCKET, _PART] if kind == "places" else [_PART, _BUCKET, _BLOCK]
+        schema = T.StructType([*fields, _RANGE, *folders])
         if not parts:
             return self.spark.createDataFrame([], schema)
         folder = f"{self.path}/{kind}"
         rows = self.spark.read.schema(schema).option("basePath", folder).parquet(*(f"{folder}/part={p}" for p in parts))
-        return rows if near is None else rows.join(near, near.columns, "left_semi")
+        if near is None:
+            return rows
+        if "id_range" in near.columns:
+            # The levels of the parts are not looked up: a place is in one block of each.
+            near = near.withColumn("id_block", F.explode(F.array(*map(_block, range(LEVELS)))))
+        return rows.join(near, near.columns, "left_semi")
 
     def _base(self, folds: Sequence[str], near: DataFrame | None) -> DataFrame:
         rows = self._read("base", folds, [*MESSAGES.fields, *ORDERED], near)
@@ -197,10 +230,14 @@ class MessageStore:
 
     # Writing
 
-    def _write(self, rows: DataFrame, kind: str, part: str) -> None:
-        # Rebalancing splits a large partition over tasks and keeps a small one whole.
-        placed = self._placed(rows).hint("rebalance", *PLACE)
-        placed.write.partitionBy(*PLACE).parquet(f"{self.path}/{kind}/part={part}")
+    def _write(self, rows: DataFrame, kind: str, part: str, places: DataFrame | None = None) -> None:
+        """`rows` as a part; `places`, theirs with the number of `rows` in each, if known."""
+        placed = self._placed(rows)
+        if places is None:
+            places = placed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("rows"))
+        # Rebalancing splits a large folder over tasks and keeps a small one whole.
+        blocks = placed.withColumn("id_block", _block(_level(places))).hint("rebalance", *FOLDERS)
+        blocks.write.partitionBy(*FOLDERS).parquet(f"{self.path}/{kind}/part={part}")
 
     def _write_checkpoints(self, scopes: DataFrame | None, part: str) -> None:
         if scopes is None:
@@ -244,11 +281,10 @@ class MessageStore:
 
     def _write_fold(self, rows: DataFrame, part: str, places: DataFrame | None = None) -> None:
         columns = [*MESSAGES.names, "run", "before"]
-        self._write(rows.select(*columns), "base", part)
+        self._write(rows.select(*columns), "base", part, places)
         if places is None:
             places = self._read("base", [part], [], None).select(*PLACE).distinct()
-        marks = places.select(*PLACE, F.lit(1).alias("one"))
-        marks.repartition(1).write.partitionBy(*PLACE).parquet(f"{self.path}/places/part={part}")
+        places.select(*PLACE).hint("rebalance").write.parquet(f"{self.path}/places/part={part}")
 
     def fold(self) -> Entry | None:
         """Move the log into the base: the partitions it touches are written anew, as
@@ -260,7 +296,7 @@ class MessageStore:
             return None
         seen, part = batches[-1].number, f"p{uuid.uuid4().hex}"
         last = next((e for e in live if e.kind == "fold"), Entry(-1, "fold", []))
-        touched = settled(self._log(batches, None).select(*PLACE).distinct()).where("chat_bucket >= 0")
+        touched = _prunable(self._log(batches, None).select(*PLACE).distinct())
         self._write_fold(self.state(seen + 1, touched), part, touched)
         self._write_checkpoints(self.checkpoints(seen + 1), part)
         applied = dict(last.applied)

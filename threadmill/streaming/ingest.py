@@ -142,7 +142,8 @@ def stream_upsert(
         while True:
             seen = store.version()
             try:
-                store.commit(writer, batch_id, ordered_changes(store.state(near=near), staged), reached(staged), seen)
+                changes = settled(ordered_changes(store.state(near=near), staged))
+                store.commit(writer, batch_id, changes, reached(staged), seen)
                 break
             except Conflict:
                 continue
