@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -329,3 +330,35 @@ def test_decontamination_of_texts_shorter_than_an_item(spark, lowered):
     assert set(found) == set(expected) and all(found[k] == pytest.approx(expected[k]) for k in found)
     n_words = {d: len(lowered(t)) for d, t in docs}
     assert all(r.n_words == min(n_words[r.doc_id], len(lowered(items[r.item_id][1]))) for r in rows)
+
+
+def test_no_pairs_where_too_few_tokens_are_shared_outside_the_partner(spark, monkeypatch):
+    """Copies of one text, too far from it and each other to link, that share its words and a last one."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, places):
+        return [f"e{rng.random()}" if i in places else w for i, w in enumerate(words)]
+
+    far = [edited(base, {10 + 22 * k + rng.randrange(6) for k in range(6)}) + ["same"] for _ in range(40)]
+    texts = [base, *far, *(edited(f, {rng.randrange(20, 140)}) for f in far[:5])]
+    compared = []
+    verified = jaccard.verified
+
+    def counted(docs, classes, pairs, shipped, extras=True):
+        if not extras:
+            compared.append(pairs.count())
+        return verified(docs, classes, pairs, shipped, extras)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    assert got == dict(enumerate(want)) and len(set(want)) < len(texts)
+    # All pairs of the 46 would be 1035.
+    assert compared[0] < 200

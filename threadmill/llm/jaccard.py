@@ -257,26 +257,38 @@ def _enough() -> Column:
     return (100 + PERCENT) * (F.col("c") + F.greatest(*rest)) >= PERCENT * (F.col("n") + F.col("_n"))
 
 
-def outside_prefixes(compared: DataFrame) -> DataFrame:
-    """cls and token: of the tokens of each class outside its partner p, the rarest
-    ones, so many that two similar classes with p share one of them.
-
-    Similar sets have at least 3/4 of the larger one in common.  Of a set of n tokens, i of
-    them in p, that leaves 3/4 * n - i to be shared outside p, at least one; so losing any
-    one less from the outside tokens, in one order for all sets, leaves one that is shared.
-    What many sets share comes last in that order and is seldom needed."""
+def outside_tokens(compared: DataFrame) -> DataFrame:
+    """Of each class (cls) its tokens t outside its partner that another class with the
+    partner has, rarest first, and how many of them a similar one shares (need).
+
+    Similar sets x and y have 75/175 of their sizes' sum in common, and y is no smaller
+    than 3/4 of x and than the smallest set with the partner.  Of that, what x has
+    inside the partner leaves the rest, at least one, to be shared outside."""
+    far = compared.where(F.size("extra") > 0)
+    smallest = far.groupBy("b").agg(F.min("n_a").alias("least"))
+    sizes = F.col("n_a") + F.greatest("least", F.expr(f"({PERCENT} * n_a + 99) div 100"))
+    common = F.ceil(PERCENT * sizes / (100 + PERCENT)).cast("long")
     outside = settled(
-        compared.where(F.size("extra") > 0).select(
+        far.join(smallest, "b").select(
             "b",
             F.col("a").alias("cls"),
-            F.greatest(F.expr(f"({PERCENT} * n_a + 99) div 100") - F.col("shared"), F.lit(1)).alias("need"),
+            F.greatest(common - F.col("shared"), F.lit(1)).alias("need"),
             F.explode("extra").alias("token"),
         )
     )
     # A token that no other class with p has cannot be shared.
     often = outside.groupBy("b", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     placed = outside.join(often, ["b", "token"]).select("cls", "need", F.struct("df", "token").alias("t"))
-    ranked = placed.groupBy("cls", "need").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return placed.groupBy("cls", "need").agg(F.sort_array(F.collect_list("t")).alias("t"))
+
+
+def outside_prefixes(ranked: DataFrame) -> DataFrame:
+    """cls and token: of the :func:`outside_tokens` of each class the rarest ones, so
+    many that two similar classes with one partner share one of them.
+
+    Losing any one less than are needed from the tokens, in one order for all sets,
+    leaves one that is shared.  What many sets share comes last in that order and is
+    seldom needed; a set with fewer tokens than it needs has none."""
     used = F.slice("t", F.lit(1), F.greatest(F.size("t") - F.col("need") + 1, F.lit(0)).cast("int"))
     return ranked.select("cls", F.explode(used).alias("t")).select("cls", "t.token")
 
@@ -294,7 +306,8 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     classes are not all joined yet.  A pair (u, v) goes on if its sizes allow, and,
     where both prefixes are of rare tokens, if so many of these are shared that
     the rest of the sets could do.  Where both were compared with the same p,
-    min(|u & p|, |v & p|) and min(|u - p|, |v - p|) together must do; and if
+    min(|u & p|, |v & p|) and min(|u - p|, |v - p|) together must do, the latter, where p
+    has half of each, counted over tokens that others with p have; and if
     the former does not alone, they must share a token that p has not: then
     near sets (p has half of each) meet at these tokens instead of signatures."""
     shipped = counted_tokens(docs)
@@ -323,8 +336,11 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     own = F.coalesce("component", "cls").alias("component")
     blocks = of_partner.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     of_block = of_partner.join(blocks, "p").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    ranked = settled(outside_tokens(first))
+    beyond = ranked.select("cls", F.size("t").alias("beyond"))
     facts = settled(
         sets.join(of_block, "cls", "left")
+        .join(beyond, "cls", "left")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         .select(
             "cls",
@@ -333,18 +349,20 @@ def similar_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             own,
             F.coalesce("p", "cls").alias("p"),
             F.coalesce("inside", "n").alias("inside"),
+            F.coalesce("beyond", F.lit(0)).alias("beyond"),
             F.xxhash64(F.coalesce("p", "cls"), F.coalesce("block", F.lit(0))).alias("block"),
         )
     )
     marked = settled(shared.select("sig", "cls").join(facts, "cls"))
     mixed = marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
     rest = settled(marked.join(mixed, "sig", "left_semi"))
-    far = outside_prefixes(first).join(facts, "cls")
+    far = outside_prefixes(ranked).join(facts, "cls")
 
     both = F.col("n") + F.col("_n")
     inside = F.least("inside", "_inside")
-    outside = F.least(F.col("n") - F.col("inside"), F.col("_n") - F.col("_inside"))
     near = (2 * F.col("inside") >= F.col("n")) & (2 * F.col("_inside") >= F.col("_n"))
+    apart = F.least(F.col("n") - F.col("inside"), F.col("_n") - F.col("_inside"))
+    outside = F.when(near, F.least("beyond", "_beyond")).otherwise(apart)
     could = (
         (F.col("cls") > F.col("_cls"))
         & (F.col("component") != F.col("_component"))
